@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import exact_dedup, mixing, scratch, url_filter, warc
+from pathloom.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, scratch, toxicity, training, url_filter, warc
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIX_WEIGHTS, MIX_SHARE, MIX_LIMIT = [5, 2, 1], 1.5, 2.0
@@ -21,6 +21,21 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).drop("segments")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"), training.fold(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score_toxicity(docs, lexicon)
+    return scored.select("doc_id", (training.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses", "insults")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -29,12 +44,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"), URL_RULES).drop("url")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels"), training.fold(F.col("doc_id"), 3) != 1)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (training.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_LIMIT)
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {"op2_warc": op2_warc, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
+QUERIES = {"op2_warc": op2_warc, "op3_near_dedup": op3_near_dedup, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -48,6 +70,18 @@ SELECT p.page_id, strlen(p.html) AS payload_bytes,
   CASE WHEN p.page_id = g.holder THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN p.page_id <> g.holder THEN g.holder END AS refers_to
 FROM p JOIN g USING (html)""",
+    "op3_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')]
+  ELSE list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 85 * (m.n_shingles + o.n_shingles - c)),
+u AS (SELECT a AS f, b AS t FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, u.t FROM r JOIN u ON r.reached = u.f),
+k AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN k USING (doc_id)""",
     "op7_exact_dedup": f"""
 WITH n AS (SELECT doc_id, sha256({_LOW.format("coalesce(text, '')")}) AS text_sha256, {_LOW.format("coalesce(text, '')")} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
