@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, scratch, toxicity, training, url_filter, warc
+from pathloom.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, scratch, substring_dedup, toxicity, training, url_filter, warc
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIX_WEIGHTS, MIX_SHARE, MIX_LIMIT = [5, 2, 1], 1.5, 2.0
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), length=100)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
@@ -56,11 +61,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {"op2_warc": op2_warc, "op3_near_dedup": op3_near_dedup, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_near_dedup": op3_near_dedup, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_substring_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substr(hx, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, hx, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)),
+f AS (SELECT k, min({'doc_id': doc_id, 's': s}) AS earliest FROM w GROUP BY k),
+r AS (SELECT doc_id, s FROM w JOIN f USING (k) WHERE {'doc_id': doc_id, 's': s} > earliest),
+g AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM r),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM g),
+p AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, span),
+q AS (SELECT doc_id, b AS from_byte, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS to_byte FROM p
+  UNION ALL SELECT doc_id, 0, min(a) FROM p GROUP BY doc_id),
+kept AS (SELECT q.doc_id, string_agg(substr(hx, 2 * from_byte + 1, 2 * (coalesce(to_byte, n) - from_byte)), '' ORDER BY from_byte) AS hx FROM q JOIN d USING (doc_id) GROUP BY q.doc_id),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM p GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(CAST(t.n_removed AS BIGINT), 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept.hx, d.hx))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT html, max(page_id) AS holder FROM p GROUP BY html)
