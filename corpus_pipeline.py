@@ -1,8 +1,77 @@
-"""Corpus pipeline (stages are added as their operators are built)."""
+"""Corpus pipeline: from documents to a deduplicated, clean, weighted mix.
 
+Stages, each over all rows that the one before kept:
+
+1. ``quality``: rows that the byte-level network rejects (score below 0.5) go.
+2. ``exact``: of equal texts the row with the largest doc_id stays.
+3. ``near``: of each group of near duplicates (five words, 0.8) one document stays.
+4. ``decontaminate``: rows that overlap with a benchmark item go.
+5. ``mix``: sources are mixed to target weights; the rows that the mix takes, with their number of copies.
+
+All but the last return the columns of their input. Rows with a null doc_id
+cannot be told apart and pass the stages ``exact`` and ``near`` whole; rows of one doc_id
+stand or fall together there. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pathloom.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, scratch, training
+
+MIX_WEIGHTS = [5, 2, 1]
+NEAR_PERCENT = 80
+#: SQL can express neither the network nor its decisions; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _with_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row), so that no other column's name can clash."""
+    return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    ids = kept.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id"))
+    known = docs.where("doc_id IS NOT NULL")
+    return known.join(ids, known["doc_id"].cast("long") == ids["_kept_id"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit_quality(docs, labels, training.fold(F.col("doc_id"), 3) != 1)
+    return quality.score_quality(_with_row(docs), model, keep=("row",)).where("score >= 0.5").select("row.*")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, exact_dedup.exact_dedup(docs, keep="largest"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, near_dedup.near_dedup(docs, percent=NEAR_PERCENT))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.decontaminate(_with_row(docs), benchmark, keep=("row",)).where("NOT contaminated").select("row.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(docs, MIX_WEIGHTS).where("copies > 0")
+
+
+STAGES = [
+    ("quality", drop_low_quality),
+    ("exact", drop_exact_copies),
+    ("near", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.materialise(stage(spark, docs, sf_dir), name)
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, scratch, substring_dedup, toxicity, training, url_filter, warc
+from pathloom.llm import decontaminate, exact_dedup, hmm, mixing, near_dedup, quality, scratch, substring_dedup, toxicity, training, url_filter, warc
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MIX_WEIGHTS, MIX_SHARE, MIX_LIMIT = [5, 2, 1], 1.5, 2.0
@@ -41,6 +41,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(_table(spark, sf_dir, "documents"), training.fold(F.col("doc_id"), 5) == 1)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -61,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_near_dedup": op3_near_dedup, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_warc": op2_warc, "op3_near_dedup": op3_near_dedup, "op4_toxicity": op4_toxicity, "op5_decontaminate": op5_decontaminate, "op6_hmm_scoring": op6_hmm_scoring, "op7_exact_dedup": op7_exact_dedup, "op8_url_filter": op8_url_filter, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
