@@ -71,12 +71,14 @@ class ByteConvNet:
 
     def pooled(self, chunks: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Max-pooled, rectified filter values of each chunk (and the pooled positions)."""
-        x = np.empty((*chunks.shape, INPUT), np.float32)
-        x[..., :EMBED] = self.p["embed"][chunks]
-        x[..., EMBED] = repeats(chunks)
-        s = x.strides
-        windows = np.lib.stride_tricks.as_strided(x, (len(chunks), _POSITIONS, WIDTH * INPUT), (s[0], s[1] * HOP, s[2]))
-        conv = (windows.reshape(-1, WIDTH * INPUT) @ self.p["filters"]).reshape(len(chunks), _POSITIONS, FILTERS)
+        tables = np.concatenate([self.p["embed"], self.p["embed"]])  # of bytes, and of bytes that repeat
+        filters = self.p["filters"].reshape(WIDTH, INPUT, FILTERS)
+        place = chunks + repeats(chunks) * np.intp(256)
+        conv = np.zeros((len(chunks), _POSITIONS, FILTERS), np.float32)
+        for j in range(WIDTH):
+            table = tables @ filters[j, :EMBED]
+            table[256:] += filters[j, EMBED]
+            conv += np.take(table, place[:, j : j + HOP * _POSITIONS - HOP + 1 : HOP], axis=0)
         top = np.maximum(conv.max(axis=1) + self.p["bias"], 0)
         return top, conv.argmax(axis=1) if where else None
 
@@ -86,14 +88,14 @@ class ByteConvNet:
         feats = np.hstack([np.add.reduceat(top, first, axis=0) / n[:, None], np.maximum.reduceat(top, first, axis=0)])
         return feats, feats @ self.p["out"] + self.p["offset"][0]
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray, block: int = 512) -> np.ndarray:
+    def scores(self, data: np.ndarray, offsets: np.ndarray, block: int = 256) -> np.ndarray:
         sizes = offsets[1:] - offsets[:-1]
         n, starts = chunk_starts(sizes)
         begin, end = starts + np.repeat(offsets[:-1], n), np.repeat(offsets[1:], n)
         top = np.concatenate([self.pooled(chunk_matrix(data, begin[i : i + block], end[i : i + block]))[0] for i in range(0, len(begin), block)])
         return 1 / (1 + np.exp(-np.clip(self.combine(top, n)[1].astype(np.float64), -30, 30)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.004, seed: int = 17) -> ByteConvNet:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 17) -> ByteConvNet:
         rng = np.random.default_rng(seed)
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
@@ -107,7 +109,7 @@ class ByteConvNet:
                 offsets = np.concatenate([[0], np.cumsum([len(texts[j]) for j in own])])
                 n, starts = chunk_starts(offsets[1:] - offsets[:-1])
                 chunks = chunk_matrix(data, starts + np.repeat(offsets[:-1], n), np.repeat(offsets[1:], n))
-                parts = [self.pooled(chunks[a : a + 512], True) for a in range(0, len(chunks), 512)]
+                parts = [self.pooled(chunks[a : a + 256], True) for a in range(0, len(chunks), 256)]
                 again = np.concatenate([repeats(chunks[a : a + 512]) for a in range(0, len(chunks), 512)])
                 top, where = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 feats, logit = self.combine(top, n)
@@ -122,12 +124,10 @@ class ByteConvNet:
                 taps = chunks[c[:, None], spot]
                 seen = np.concatenate([self.p["embed"][taps], again[c[:, None], spot][..., None]], axis=2)
                 grads = {"out": feats.T @ err, "offset": err.sum(keepdims=True), "bias": g_top.sum(axis=0)}
-                g_filters = np.zeros((FILTERS, WIDTH * INPUT), np.float32)
-                np.add.at(g_filters, f, g[:, None] * seen.reshape(len(c), -1).astype(np.float32))
-                grads["filters"] = g_filters.T
-                g_embed = np.zeros_like(self.p["embed"])
-                np.add.at(g_embed, taps.ravel(), (g[:, None] * self.p["filters"].T[f]).reshape(-1, INPUT)[:, :EMBED])
-                grads["embed"] = g_embed
+                flat = seen.reshape(len(c), -1).astype(np.float32)
+                grads["filters"] = np.stack([g[f == k] @ flat[f == k] for k in range(FILTERS)], axis=1)
+                back = (g[:, None] * self.p["filters"].T[f]).reshape(-1, INPUT)
+                grads["embed"] = np.stack([np.bincount(taps.ravel(), weights=back[:, k], minlength=256) for k in range(EMBED)], axis=1).astype(np.float32)
                 step += 1
                 for k, v in self.p.items():
                     m, q = state[k]
@@ -137,7 +137,7 @@ class ByteConvNet:
         return self
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, max_rows: int = 3000, max_bytes: int = 8 << 20, label_col: str = "quality") -> ByteConvNet | float:
+def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, max_rows: int = 3000, max_bytes: int = 6 << 20, label_col: str = "quality") -> ByteConvNet | float:
     """The network, or a constant score where labels are of one kind or missing."""
     rows = [(r["doc_id"], r["text"].encode(), r["label"]) for r in training.labelled_sample(docs, labels, label_col, use, max_rows, max_bytes).collect()]
     rows = training.within_bytes(rows, max_bytes)
