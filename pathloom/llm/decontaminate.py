@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pathloom.llm import kernel
+from pathloom.llm import kernel, scratch
 from pathloom.llm.toxicity import fold_case
 
 #: 1: the word counts, 0: it is ignored. Any two substitutions in 13 words leave one of them whole somewhere.
@@ -115,9 +116,6 @@ class SeedIndex:
         return lo + int(good[0]), lo + int(good[-1]) + size, float(counts.max() / size)
 
 
-_OVERLAPS = "doc_id long, item_id long, first_word int, end_word int, share double"
-
-
 def benchmark_blocks(benchmark: DataFrame, max_block_bytes: int, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, as the driver reads them one after another."""
     block, held = [], 0
@@ -131,16 +129,18 @@ def benchmark_blocks(benchmark: DataFrame, max_block_bytes: int, item_col: str,
         yield block
 
 
-def overlaps_with(docs: DataFrame, index: SeedIndex, window: int, min_share: float, found: bool) -> DataFrame:
-    """Rows of docs (doc_id, text, found so far) with the overlaps with one block added."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+def overlaps_with(docs: DataFrame, index: SeedIndex, window: int, min_share: float) -> DataFrame:
+    """The columns after the first, which is the text, and the overlaps with one block."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    names = docs.columns[1:]
+    spans = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()), T.StructField("share", T.DoubleType())]))
+    schema = T.StructType([*docs.schema.fields[1:], T.StructField("overlaps", spans)])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             lists: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
-            for i, _, data, offsets in kernel.text_chunks(batch.column(1)):
+            for i, _, data, offsets in kernel.text_chunks(batch.column(0)):
                 tokens, rows = words(data, offsets)
                 by_row: dict[int, set[tuple[int, int]]] = {}
                 for item, diagonal in index.hits(tokens):  # over the whole chunk at once; a diagonal may run into several rows
@@ -156,10 +156,9 @@ def overlaps_with(docs: DataFrame, index: SeedIndex, window: int, min_share: flo
                             best[item] = (a, b, share)
                     lists[i + r] = [{"item_id": index.ids[k], "first_word": a, "end_word": b, "share": s} for k, (a, b, s) in sorted(best.items())]
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lists, kind)], [*batch.schema.names[2:], "overlaps"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lists, kind)], [*names, "overlaps"])
 
-    rest = [f.simpleString().replace(":", " ", 1) for f in docs.schema.fields[2:]]
-    return docs.mapInArrow(search, ", ".join([*rest, "overlaps array<struct<item_id: bigint, first_word: int, end_word: int, share: double>>"]))
+    return docs.mapInArrow(search, schema)
 
 
 def decontaminate(
@@ -170,20 +169,18 @@ def decontaminate(
     ``overlaps`` has per benchmark item the best one: the words of the document
     from ``first_word`` to before ``end_word``, and the share of equal words.
     """
-    out = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
-    done: DataFrame | None = None
-    blocks = list(benchmark_blocks(benchmark, max_block_bytes, item_col, item_text_col)) or [[]]
-    for n, block in enumerate(blocks):
-        if done is None:
-            source = out
-        else:
-            names = ["doc_id", *keep]
-            source = done.select("_id", "_text", *names, "overlaps").withColumnRenamed("overlaps", "before")
-        last = n == len(blocks) - 1
-        carried = source if last else source.select("_id", "_text", F.col("_id").alias("_id2"), F.col("_text").alias("_text2"), *source.columns[2:])
-        done = overlaps_with(carried, SeedIndex(block, min_item), window, min_share, n > 0)
-        if not last:
-            done = done.withColumnsRenamed({"_id2": "_id", "_text2": "_text"})
-        if "before" in done.columns:
-            done = done.withColumn("overlaps", F.concat("before", "overlaps")).drop("before")
+    names = ["doc_id", *keep]
+    done = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
+    blocks = benchmark_blocks(benchmark, max_block_bytes, item_col, item_text_col)
+    block, first = next(blocks, []), True
+    while block is not None:
+        after = next(blocks, None)
+        carried = ["_text"] if after is not None else []
+        own = done.select("_text", *carried, *names, *([] if first else [F.col("overlaps").alias("_before")]))
+        done = overlaps_with(own, SeedIndex(block, min_item), window, min_share)
+        if not first:
+            done = done.withColumn("overlaps", F.concat("_before", "overlaps")).drop("_before")
+        if after is not None:  # the next pass starts from files, so one block at a time is on the executors
+            done = scratch.materialise(done, "overlaps")
+        block, first = after, False
     return done.select("doc_id", *keep, "overlaps", F.size("overlaps").alias("n_items"), (F.size("overlaps") > 0).alias("contaminated"))
