@@ -379,7 +379,7 @@ def score_texts(
         lens = np.array([len(x) for x in texts])
         begin, size = pieces_of(np.cumsum(lens) - lens, lens, TRAIN_PIECE)
         model = Model.first(seen)
-        half = 200_000 // TRAIN_PIECE * 4
+        half = 256
         for _ in range(warm_rounds):
             model = Model.of(sum(expected_counts(model, flat, begin[i : i + half], size[i : i + half]) for i in range(0, len(begin), half)), share)
         slots = 1024 if scratch.partitions(spark) > 1024 else 32
