@@ -631,3 +631,49 @@ def lr_scorer(spark, sf_dir):
     features = dataset.pair_features(met, ["cps"]).withColumn("f_1", W.hash_fraction("noise", ["custkey", "partkey"]))
     scorer = dataset.LogisticScorer(["f_0", "f_1"]).fit(features.where("sample_type = 'train'"))
     return scorer.score(features).select("custkey", "partkey", "sample_type", "label", "score")
+
+
+@query(f"""WITH {SQL_EDGES}, {SQL_NEW}, t AS (SELECT * FROM new WHERE CAST(custkey AS INT) % 100 = 0), hs AS (SELECT DISTINCT custkey FROM t),
+m1 AS (SELECT c AS head, p AS tail, count(*) AS n FROM e WHERE c IN (SELECT custkey FROM hs) GROUP BY ALL),
+m2 AS (SELECT a.c AS head, d.p AS tail, count(*) AS n FROM e a JOIN e b ON a.p = b.p JOIN e d ON b.c = d.c WHERE a.c IN (SELECT custkey FROM hs) GROUP BY ALL),
+m3 AS (SELECT a.c AS head, d.p AS tail, count(*) AS n FROM e a JOIN f b ON a.p = b.p JOIN f d ON b.s = d.s WHERE a.c IN (SELECT custkey FROM hs) GROUP BY ALL)
+{_METRIC.format(_N1, "m1")} UNION ALL {_METRIC.format(_N3, "m2")} UNION ALL {_METRIC.format(_N3S, "m3")}""")
+def match_metrics_one_end(spark, sf_dir):
+    """The same search from the heads alone."""
+    links = _new_links(spark, sf_dir).where("cast(custkey as int) % 100 = 0").withColumn("graph_year", F.lit("1999"))
+    return paths.find_paths(_tokens(spark, sf_dir), links, _HOPS, "Customer", "Part", 3, n=None, both_ends=False)
+
+
+@query(f"WITH {SQL_BUYS}, s AS (SELECT custkey, year, min(quantity) AS quantity FROM buys GROUP BY ALL) SELECT custkey, '1998' AS graph_year, sum(quantity) AS label, CASE WHEN {_u('instances', 'custkey')} < 0.8 THEN 'train' ELSE 'test' END AS sample_type FROM s WHERE year IN ('1999', '2000') GROUP BY ALL")
+def train_instances(spark, sf_dir):
+    """Labels from a window after the graph time, split by hash."""
+    source = clean_source(purchases(spark, sf_dir), ["custkey"], ["quantity"], ["year"])
+    ahead = WindowGroup(("sum",), (TimeWindow(1, 2, "year"),))
+    labels = tokens.time_aggregate(spark, source, ["custkey"], ["quantity"], ["year"], ["%Y"], [ahead], ["graph_year"], ["%Y"], [("1998",)])
+    return W.random_split(labels.withColumnRenamed("agg_1_to_3_year_sum_quantity", "label"), [("train", 0.8), ("test", 0.2)], ["custkey"], "instances")
+
+
+@query(f"""WITH {SQL_EDGES}, {SQL_CANDIDATES}, {SQL_LABELS}, {SQL_LABELLED}, quota AS (SELECT sample_type, 2 * count(*) AS total FROM pos GROUP BY sample_type),
+k AS (SELECT *, row_number() OVER (PARTITION BY sample_type ORDER BY floor({_u('batch', 'custkey', 'partkey')} * 64), {_md5('batch', 'custkey', 'partkey')}) AS rk FROM neg)
+SELECT custkey, partkey, '1999' AS graph_year, sample_type, label FROM labelled WHERE label = 1 UNION ALL SELECT custkey, partkey, '1999', sample_type, 0 FROM k JOIN quota USING (sample_type) WHERE rk <= total""")
+def training_batch(spark, sf_dir):
+    return pairs.training_batch(_labelled_pairs(spark, sf_dir, False), ["custkey", "partkey"], 2)
+
+
+@query(f"""WITH {SQL_EDGES}, a AS (SELECT c, CAST(least(6, count(*)) AS INT) AS n FROM e GROUP BY c), b AS (SELECT e.c, CAST(least(6, count(*)) AS INT) AS n FROM e JOIN f ON e.p = f.p GROUP BY e.c)
+SELECT CAST(c_custkey AS VARCHAR) AS custkey, coalesce(b.n, 0) AS cps_collect_count, coalesce(a.n, 0) AS cp_collect_count FROM customer LEFT JOIN a ON a.c = CAST(c_custkey AS VARCHAR) LEFT JOIN b ON b.c = CAST(c_custkey AS VARCHAR) WHERE c_custkey % 50 = 0""")
+def multi_path_collection(spark, sf_dir):
+    heads = _heads(spark, sf_dir, 50)
+    short = paths.PathPlanner(_tokens(spark, sf_dir), heads).prefix(linear_path("cp", [HopSpec(BUYS)]))
+    one = collect.Collection("cp", short, (C0, "graph_year"), ("custkey", "graph_year"), (P1,))
+    out = collect.collect_pairs(heads.withColumnRenamed("c", "custkey"), [_collection(spark, sf_dir), one], 6)
+    return collect.fill_counts(out, ["cps", "cp"]).select("custkey", "cps_collect_count", "cp_collect_count")
+
+
+@query("SELECT o_orderkey, concat_ws(',', CAST(o_totalprice > 200000 AS INT), CAST(o_orderstatus = 'F' AS INT), CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS vector FROM orders")
+def merged_vectors(spark, sf_dir):
+    """Vectors put together, null ones as zeros."""
+    orders = table(spark, sf_dir, "orders")
+    a = F.array((F.col("o_totalprice") > 200000).cast("double"), (F.col("o_orderstatus") == "F").cast("double"))
+    b = V.fill_null_vector(F.when(F.col("o_orderstatus") == "O", F.array(F.lit(1.0))), 1)
+    return orders.select("o_orderkey", F.array_join(F.transform(V.merge_vectors(a, b), lambda x: x.cast("int").cast("string")), ",").alias("vector"))

@@ -258,3 +258,14 @@ def test_daily_counts_stream(spark, folder):
     q = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["n"], r["value"]) for r in spark.table(name).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_shards_and_batches(spark):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    parts = [{r["k"] for r in dataset.shard(df, ["k"], i, 3).collect()} for i in range(3)]
+    assert set.union(*parts) == set(range(100)) and sum(map(len, parts)) == 100
+    got = list(dataset.batches(df, ["k"], 30, 1, fill_last=True))
+    assert [len(b) for b in got] == [30, 30, 30, 30] and {r["k"] for b in got for r in b} == set(range(100))
+    assert [len(b) for b in dataset.batches(df, ["k"], 30, 2)] == [30, 30, 30, 10] and list(dataset.batches(df, ["k"], 30, 2))[0] != got[0]
+    with pytest.raises(ValueError):
+        dataset.shard(df, ["k"], 3, 3)
