@@ -201,7 +201,8 @@ def find_segments(own: DataFrame, length: int) -> DataFrame:
 def repeated_ranges(own: DataFrame, length: int) -> DataFrame:
     """(doc_id, start, count): ranges of starts of strings that are repeats. ``own``: (doc_id, text), dealt by doc_id."""
     found = find_segments(own.where("doc_id IS NOT NULL"), length)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # from files, so that the join's sides are plain shuffles, whose large partitions Spark can split
+    often = scratch.materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     shared = scratch.materialise(found.join(often, "anchor", "left_semi"), "segments")
     place = F.struct("doc_id", "start")
     distinct = scratch.materialise(
@@ -209,7 +210,7 @@ def repeated_ranges(own: DataFrame, length: int) -> DataFrame:
     )
     many = distinct.where("n > 1").select("anchor", "segment", "at")
     copies = shared.join(many, ["anchor", "segment"]).where(~(F.struct("doc_id", "start") == F.col("at"))).select("doc_id", "start", "count")
-    mixed = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = scratch.materialise(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed-anchors")
     salts = F.ceil(F.col("kinds") / SEGMENTS).cast("int")
     sources = (
         distinct.join(mixed, "anchor")
