@@ -115,7 +115,8 @@ def write_warc(
     """Write the archives. Of equal payloads of ``min_bytes`` or more, the largest identifier's is the response."""
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     keyed = own.withColumn("digest", F.sha1("html")).withColumn("n", F.octet_length("html"))
-    groups = keyed.groupBy("digest", "n").agg(F.max("page_id").alias("holder"))
+    # from files, so that Spark can split a frequent payload's partition of the join
+    groups = scratch.materialise(keyed.groupBy("digest", "n").agg(F.max("page_id").alias("holder")), "payloads")
     decided = keyed.join(groups, ["digest", "n"]).select("page_id", "url", "html", "holder", ((F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("holder"))).alias("revisit"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
