@@ -513,9 +513,9 @@ neg AS (SELECT custkey, partkey, arg_min(sample_type, {_md5('negative', 'custkey
 labelled AS (SELECT *, 1 AS label FROM pos UNION ALL SELECT *, 0 FROM neg)"""
 
 
-@query(f"WITH {SQL_EDGES}, {SQL_CANDIDATES}, {SQL_LABELS}, {SQL_LABELLED} SELECT custkey, partkey, '1999' AS graph_year, sample_type, label FROM labelled UNION ALL SELECT custkey, partkey, '1999', 'infer', NULL FROM unknown")
+@query(f"WITH {SQL_EDGES}, {SQL_CANDIDATES}, {SQL_LABELS}, {SQL_LABELLED} SELECT custkey, partkey, '1999' AS graph_year, sample_type, CAST(label AS VARCHAR) AS label FROM labelled UNION ALL SELECT custkey, partkey, '1999', 'infer', NULL FROM unknown")
 def pairs_labeled(spark, sf_dir):
-    return _labelled_pairs(spark, sf_dir, True)
+    return _labelled_pairs(spark, sf_dir, True).withColumn("label", F.col("label").cast("string"))
 
 
 @query(f"""WITH {SQL_EDGES}, {SQL_CANDIDATES}, {SQL_LABELS}, {SQL_LABELLED}, quota AS (SELECT sample_type, count(*) * CASE sample_type WHEN 'train' THEN 3 ELSE 5 END AS total FROM pos GROUP BY sample_type),
