@@ -6,16 +6,16 @@ within such a symbol a word has its smoothed relative frequency. STATES latent
 states emit symbols. Baum-Welch: each partition runs the scaled forward-backward
 recursion over its training texts and sums expected counts; the sums are added
 over partitions in a tree, and the parameters follow from them. The first
-parameters come from ``warm_rounds`` on a bounded sample (``sample_rows``,
-``sample_tokens``); ``rounds`` further rounds go over all training texts.
+parameters come from ``warm_rounds`` on a bounded sample (about ``sample_rows``,
+at most ``sample_tokens``); ``rounds`` further rounds go over all training texts.
 
 Scoring runs the scaled forward recursion over the whole sequence: the exact
 likelihood of any length (long sequences are cut into pieces whose
 state-to-state factors are computed side by side and multiplied in order).
 Training cuts texts into pieces of TRAIN_PIECE symbols.
 
-Word counts cover all training texts. The DICTIONARY most frequent words' counts
-go to every executor; the counts of all others are joined to the documents that
+Word counts cover all training texts. The counts of the most frequent words,
+at most DICTIONARY, go to every executor; the counts of all others are joined to the documents that
 have them.
 
 Defined results: null text counts as empty; an empty text is its end alone;
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm import kernel, scratch
+from pathloom.llm import kernel, scratch, training
 
 STATES = 8
 TOP, SUFFIX = 4096, 1024
@@ -117,7 +117,14 @@ def count_words(train: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    best = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).select("word", "suffix", "n").toPandas()
+    # the least count of a dictionary word: from a histogram of the counts' logarithms
+    level = F.floor(F.log2("n") * 64).cast("int")
+    room, least = DICTIONARY, 1 << 30
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r["level"]):
+        if r["v"] > room:
+            break
+        room, least = room - r["v"], r["level"]
+    best = counts.where(level >= least).select("word", "suffix", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
     h = best["word"].to_numpy(np.int64).view(np.uint64)
     n = best["n"].to_numpy(np.int64)
     symbol = np.where(np.arange(len(h)) < TOP, np.arange(len(h)), -1)
@@ -363,7 +370,7 @@ def score_texts(
     table = scratch.materialise(encode(own, vocab), "encoded")
     learn = table.where("NOT held_out")
 
-    sample = learn.where(F.length("symbols") <= 2 * sample_tokens // 16).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows).select("symbols").collect()
+    sample = training.hash_sample(learn.where(F.length("symbols") <= 2 * sample_tokens // 16).select("uid", "symbols"), "uid", sample_rows, 5).select("symbols").collect()
     texts, held = [], 0
     for r in sample:
         if held > sample_tokens:

@@ -11,15 +11,26 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds).cast("long")).cast("int")
 
 
+def hash_sample(rows: DataFrame, key: str, want: int, seed: int) -> DataFrame:
+    """About ``want`` rows (all, if there are fewer), by a hash of their key below a threshold: no sorting, and the same rows on every run.
+
+    Never more than twice as many: the sum of that many independent choices does
+    not come near it, and a limit makes it certain.
+    """
+    n = rows.count()
+    if n <= want:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 31)) < int(want / n * (1 << 31))).limit(2 * want)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, use: Column, max_rows: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, label) of at most ``max_rows`` labelled rows, the first by a hash of the identifier.
+    """(doc_id, text, label) of about ``max_rows`` labelled rows, by a hash of the identifier.
 
-    Of the chosen rows those go on whose texts, in that order, stay within
-    ``max_bytes`` in sum. ``use`` is a condition on the identifier column of labels. The identifiers
-    alone are broadcast: at most ``max_rows``.
+    Texts of more than an eighth of ``max_bytes`` are not learned from. ``use`` is a condition on the
+    identifier column of labels. The identifiers alone are broadcast: at most twice ``max_rows``.
     """
     own = labels.where(use & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    picked = own.orderBy(F.xxhash64("doc_id", F.lit(97)), "doc_id").limit(max_rows)
+    picked = hash_sample(own, "doc_id", max_rows, 97)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes // 8).join(F.broadcast(picked), "doc_id")
     return rows
 
