@@ -448,3 +448,18 @@ def test_words_and_chunks():
 
 def test_scratch_reads_the_session(spark):
     assert scratch.shared_dir(spark) == scratch.shared_dir(spark)
+
+
+def test_hash_sample(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "k")
+    got = {r["k"] for r in training.hash_sample(rows, "k", 500, 1).collect()}
+    assert 400 < len(got) < 600 and got == {r["k"] for r in training.hash_sample(rows.repartition(3), "k", 500, 1).collect()}
+    assert training.hash_sample(rows, "k", 5000, 1).count() == 5000
+
+
+def test_dictionary_has_the_most_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "DICTIONARY", 50)
+    counts = spark.createDataFrame([(i, i % 7, max(1, 1000 // (i + 1))) for i in range(1000)], "word long, suffix short, n long")
+    v = hmm.vocabulary(counts, 3)
+    assert 0 < len(v.hashes) <= 50 and v.counts.min() >= 1000 // 51 and v.distinct == 1001
+    assert v.tokens == sum(max(1, 1000 // (i + 1)) for i in range(1000)) + 3
