@@ -677,3 +677,8 @@ def merged_vectors(spark, sf_dir):
     a = F.array((F.col("o_totalprice") > 200000).cast("double"), (F.col("o_orderstatus") == "F").cast("double"))
     b = V.fill_null_vector(F.when(F.col("o_orderstatus") == "O", F.array(F.lit(1.0))), 1)
     return orders.select("o_orderkey", F.array_join(F.transform(V.merge_vectors(a, b), lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+
+
+@query(f"WITH {_S} SELECT o_orderkey, score, row_number() OVER (ORDER BY score DESC, o_orderkey) AS rank FROM s")
+def ranked_predictions(spark, sf_dir):
+    return M.rank_predictions(_scored(spark, sf_dir).select("o_orderkey", "score"), ["o_orderkey"])
