@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a longer document is worked on alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
