@@ -95,13 +95,13 @@ class ByteConvNet:
         top = np.concatenate([self.pooled(chunk_matrix(data, begin[i : i + block], end[i : i + block]))[0] for i in range(0, len(begin), block)])
         return 1 / (1 + np.exp(-np.clip(self.combine(top, n)[1].astype(np.float64), -30, 30)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 17) -> ByteConvNet:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, min_steps: int = 200, batch: int = 64, rate: float = 0.004, seed: int = 17) -> ByteConvNet:
         rng = np.random.default_rng(seed)
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
         self.p["offset"][0] = np.log(share / (1 - share))
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-min_steps * batch // len(texts)))):  # a small sample is gone over more often
             order = rng.permutation(len(texts))
             for i in range(0, len(order), batch):
                 own = order[i : i + batch]
