@@ -10,10 +10,16 @@ The benchmark goes to the executors in blocks of at most ``max_block_bytes`` of
 text; a larger benchmark takes more passes over the documents, each as bounded.
 
 Words are runs of letters, digits and bytes from 128, lower-cased (A-Z and À-Þ),
-so punctuation and case do not matter.
+so punctuation and case do not matter. In scripts without spaces (Han, kana,
+Thai, Lao, Burmese, Khmer) every letter is a word, and ideographic and full-width punctuation is
+left out; hangul has spaces.
+
+The masks find any two substitutions in 13 words. Where the overlap to verify is
+shorter, or ``min_share`` admits more, the seeds are plain runs of words instead: with k
+substitutions admitted, one of k + 1 equal parts of the overlap is whole.
 
 Defined results: null and empty texts overlap with nothing; items shorter than
-``min_item`` words are not searched for; equal items are reported each; repeated
+``min_item`` words (or letters, in unspaced scripts) are not searched for, even verbatim; equal items are reported each; repeated
 rows give repeated results; a null item identifier is reported as -1; an empty table gives an empty result, an empty
 benchmark clean documents; other columns are not read.
 """
@@ -36,11 +42,49 @@ MASKS = ("111111", "11101011", "110110101", "1101001011", "10110010011")
 _GAP = np.ones(256, bool)
 _GAP[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 _FILTER_BITS = 22
+#: Words of a plain run at most, as ``seed_hashes`` has values for.
+MAX_RUN = 40
+
+
+#: Code points from, to before: letters of scripts without spaces; punctuation among them.
+_UNSPACED = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3005, 0x3008), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x20000, 0x40000))
+_MARKS = ((0x3000, 0x3005), (0x3008, 0x3021), (0x3030, 0x3031), (0xFF01, 0xFF10), (0xFF1A, 0xFF21), (0xFF3B, 0xFF41), (0xFF5B, 0xFF66))
+
+
+def _within(points: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    out = np.zeros(len(points), bool)
+    for a, b in ranges:
+        out |= (points >= a) & (points < b)
+    return out
+
+
+def _unspaced(low: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Where a word starts inside of a run, as a letter of an unspaced script starts or ends there; their punctuation becomes ``gap``."""
+    cuts = []
+    for first, last, size in ((0xE0, 0xF0, 3), (0xF0, 0xF8, 4)):
+        at = np.flatnonzero((low >= first) & (low < last))
+        at = at[at + size <= len(low)]
+        points = (low[at] & (0x0F if size == 3 else 0x07)).astype(np.int64)
+        for j in range(1, size):
+            points = points << 6 | (low[at + j] & 0x3F)
+        marks = at[_within(points, _MARKS)]
+        for j in range(size):
+            gap[marks + j] = True
+        letters = at[_within(points, _UNSPACED)]
+        cuts += [letters, letters + size]
+    return np.unique(np.concatenate(cuts))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = fold_case(data)
-    starts, ends, rows = kernel.word_bounds(_GAP[low], offsets)
+    gap = _GAP[low]
+    cuts = _unspaced(low, gap) if len(low) and low.max() >= 0xE0 else np.zeros(0, np.int64)
+    starts, ends, rows = kernel.word_bounds(gap, offsets)
+    if len(cuts) and len(starts):
+        run = np.searchsorted(starts, cuts, side="right") - 1
+        cuts = cuts[(run >= 0) & (cuts > starts[run]) & (cuts < ends[run])]
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+        rows = np.searchsorted(starts, offsets)
     return kernel.range_hash(kernel.BYTE_VALUE[low], starts, ends), rows
 
 
@@ -56,21 +100,45 @@ def seed_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return kernel.mix(h)
 
 
+def least_equal(size: int, min_share: float) -> int:
+    """The fewest equal words of ``size`` that are a share of ``min_share``, as ``verify`` compares."""
+    return next((n for n in range(size + 1) if n >= min_share * size), size + 1)
+
+
+def plan_seeds(n: int, window: int, min_share: float) -> tuple[tuple[str, ...], np.ndarray | None]:
+    """Masks and starts (None: all) of the seeds of an item of ``n`` words, so that every overlap that verifies has a whole one."""
+    size = min(window, n)
+    missing = size - least_equal(size, min_share)
+    if missing < 3 * (size // 13):  # 13 words of the overlap have two substitutions at most
+        return MASKS, None
+    run = min(size // (missing + 1), MAX_RUN)
+    if run < 1:
+        raise ValueError("a share that small admits overlaps without an equal word")
+    return ("1" * run,), None if n > size else np.arange(missing + 1) * run
+
+
 class SeedIndex:
     """Sorted seeds of a block of items."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], min_item: int):
+    def __init__(self, items: Sequence[tuple[int, str]], min_item: int, window: int = 13, min_share: float = 0.8):
         self.ids, self.tokens = [], []
+        self.masks: list[str] = []
         seeds, where = [], []
         for ident, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             tokens = words(data, np.array([0, len(data)]))[0]
             if len(tokens) < min_item:
                 continue
-            for mask in MASKS:
+            if not len(tokens):
+                continue
+            masks, starts = plan_seeds(len(tokens), window, min_share)
+            for mask in masks:
                 h = seed_hashes(tokens, mask)
-                seeds.append(h)
-                where.append(np.stack([np.full(len(h), len(self.ids)), np.arange(len(h))]))
+                at = np.arange(len(h)) if starts is None else starts
+                seeds.append(h[at])
+                where.append(np.stack([np.full(len(at), len(self.ids)), at]))
+                if mask not in self.masks:
+                    self.masks.append(mask)
             self.ids.append(-1 if ident is None else ident)
             self.tokens.append(tokens)
         h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
@@ -85,7 +153,7 @@ class SeedIndex:
         out: set[tuple[int, int]] = set()
         if not len(self.seeds):
             return out
-        for mask in MASKS:
+        for mask in self.masks:
             h = seed_hashes(tokens, mask)
             at = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
             if not len(at):
@@ -177,7 +245,7 @@ def decontaminate(
         after = next(blocks, None)
         carried = ["_text"] if after is not None else []
         own = done.select("_text", *carried, *names, *([] if first else [F.col("overlaps").alias("_before")]))
-        done = overlaps_with(own, SeedIndex(block, min_item), window, min_share)
+        done = overlaps_with(own, SeedIndex(block, min_item, window, min_share), window, min_share)
         if not first:
             done = done.withColumn("overlaps", F.concat("_before", "overlaps")).drop("_before")
         if after is not None:  # the next pass starts from files, so one block at a time is on the executors

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -374,6 +375,28 @@ def test_decontaminate(spark, empty, block):
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_short_items_are_found_at_every_admitted_substitution():
+    for n in range(6, 27):
+        item = [f"w{i}" for i in range(n)]
+        index = decontaminate.SeedIndex([(1, " ".join(item))], 6, 13, 0.8)
+        size = min(n, 13)
+        for gone in itertools.combinations(range(size), size - decontaminate.least_equal(size, 0.8)):
+            changed = ["x" if i in gone else w for i, w in enumerate(item[:size])]
+            text = f"a b c {' '.join(changed)} d e f"
+            tokens = decontaminate.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+            assert any(index.verify(tokens, i, d, 13, 0.8)[2] >= 0.8 for i, d in index.hits(tokens)), (n, gone)
+
+
+def test_decontaminate_unspaced_scripts(spark):
+    item = "床前明月光,疑是地上霜。举头望明月"
+    thai = "ภาษาไทยเป็นภาษาที่มีระดับเสียง"
+    bench = spark.createDataFrame([(0, item), (1, thai), (2, "𠀀𠀁𠀂𠀃𠀄𠀅𠀆")], "item_id long, text string")
+    rows = [(0, f"前言如下{item.replace(',', '、')}以上"), (1, f"abc{thai}def"), (2, "x𠀀𠀁𠀂𠀃𠀄𠀅𠀆y"), (3, "床前明月"), (4, "完全不同的一段文字没有任何重复"), (5, item.replace("疑", "不"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["overlaps"]] for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 3: [], 4: [], 5: [0]}
+
+
 # --- language model ------------------------------------------------------------------
 
 
