@@ -11,8 +11,9 @@ identifier, orders them by segment number, verifies the total length, decodes
 the chunked framing and verifies the payload digest; revisits get the figures of
 the response that they refer to.
 
-The text ``WARC/1.1`` at a line's end starts a record. A payload that has it is
-cut into chunks inside of it, so no record's block can hold it.
+The text ``WARC/1.1`` at a line's end starts a record. A payload that has
+``WARC/1.1`` anywhere is cut into chunks inside of it, so no record's block can
+hold it, nor end with it; at a url's end its point is percent-encoded.
 
 Defined results: null html is an empty payload; a null identifier is written as
 ``null``; a null url is written as an empty one, control characters in a url are
@@ -61,7 +62,7 @@ def _cuts(data: bytes, size: int, extra: list[int]) -> list[int]:
 
 def encode_chunked(payload: bytes, chunk_bytes: int) -> bytes:
     out, at = [], 0
-    for end in _cuts(payload, chunk_bytes, [m.start() + 3 for m in re.finditer(re.escape(MAGIC.encode()), payload)]):
+    for end in _cuts(payload, chunk_bytes, [m.start() + 3 for m in re.finditer(re.escape(MAGIC.strip().encode()), payload)]):
         out += [b"%x\r\n" % (end - at), payload[at:end], b"\r\n"]
         at = end
     return b"".join([*out, b"0\r\n\r\n"])
@@ -92,6 +93,7 @@ def page_records(page_id: int | None, url: str, payload: bytes, refers_to: int |
     name = lambda i: f"urn:x-page:{'null' if i is None else i}:{digest}"
     ident = name(page_id)
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+    uri = re.sub(r"WARC/1\.1\Z", "WARC/1%2E1", uri)
     fields = [f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
         fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{name(refers_to)}>"]

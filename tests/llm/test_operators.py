@@ -120,6 +120,16 @@ def test_warc_round_trip(spark):
     assert got[6]["segments"] > 20
 
 
+def test_warc_marker_before_framing(spark):
+    html = ["ends in WARC/1.1", "WARC/1.1", "a" * 12 + "WARC/1.1" + "b" * 40, "WARC/1.1" * 9, "x" * 50 + "WARC/1.1\n", "plain"]
+    rows = [(i, "http://h/WARC/1.1", t) for i, t in enumerate(html)]
+    for size in (20, 8):
+        path = scratch.new_path(spark, "warc-test")
+        warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path, segment_bytes=60, chunk_bytes=size)
+        got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(spark, path).collect()}
+        assert got == {i: (len(t), warc.digest32(t.encode())) for i, t in enumerate(html)}
+
+
 def test_warc_min_bytes_and_empty(spark):
     schema = "page_id long, url string, html string"
     path = scratch.new_path(spark, "warc-test")
