@@ -4,13 +4,14 @@ Stages, each over all rows that the one before kept:
 
 1. ``quality``: rows that the byte-level network rejects (score below 0.5) go.
 2. ``exact``: of equal texts the row with the largest doc_id stays.
-3. ``near``: of each group of near duplicates (five words, 0.8) one document stays.
+3. ``near``: of each group of near duplicates (five words, 0.8) the row with the smallest doc_id stays.
 4. ``decontaminate``: rows that overlap with a benchmark item go.
 5. ``mix``: sources are mixed to target weights; the rows that the mix takes, with their number of copies.
 
-All but the last return the columns of their input. Rows with a null doc_id
-cannot be told apart and pass the stages ``exact`` and ``near`` whole; rows of one doc_id
-stand or fall together there. Empty tables give empty results.
+All but the last return the columns of their input. The stages ``exact`` and ``near``
+number the rows and keep exactly one of each group: a row with a null doc_id only
+where no other has one, and any one of rows with equal doc_id. Texts without words
+are no near duplicates. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pathloom.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 
 MIX_WEIGHTS = [5, 2, 1]
 NEAR_PERCENT = 80
+#: Column of the row numbers inside of a stage.
+NUMBER = "_row_number"
 #: SQL can express neither the network nor its decisions; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
@@ -31,10 +34,18 @@ def _with_row(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    ids = kept.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id"))
-    known = docs.where("doc_id IS NOT NULL")
-    return known.join(ids, known["doc_id"].cast("long") == ids["_kept_id"], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+def _numbered(docs: DataFrame, label: str) -> DataFrame:
+    """The rows with a number each; from files, so that a row has the same number whenever it is read."""
+    return scratch.materialise(docs.withColumn(NUMBER, F.monotonically_increasing_id()), label)
+
+
+def _one_of_each(docs: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
+    """Of each group (number, group) of numbered rows, the one with the largest or smallest doc_id."""
+    ids = docs.select(F.col(NUMBER).alias("number"), F.col("doc_id").cast("long").alias("id"))
+    order = F.struct("id", -F.col("number")) if largest else F.struct(F.col("id").isNull(), "id", "number")
+    pick = F.max_by if largest else F.min_by
+    chosen = groups.join(ids, "number").groupBy("group").agg(pick("number", order).alias("_chosen")).select("_chosen")
+    return docs.join(chosen, docs[NUMBER] == chosen["_chosen"], "left_semi").drop(NUMBER)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +55,15 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, exact_dedup.exact_dedup(docs, keep="largest"))
+    rows = _numbered(docs, "exact-rows")
+    groups = exact_dedup.exact_dedup(rows, id_col=NUMBER)
+    return _one_of_each(rows, groups.select(F.col("doc_id").alias("number"), F.col("keep_id").alias("group")), largest=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, near_dedup.near_dedup(docs, percent=NEAR_PERCENT))
+    rows = _numbered(docs, "near-rows")
+    groups = near_dedup.near_dedup(rows, percent=NEAR_PERCENT, id_col=NUMBER)
+    return _one_of_each(rows, groups.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group")), largest=False)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,6 +60,21 @@ def test_stages(spark, tables):
     assert kept["mix"] <= kept["decontaminate"] and None in kept["decontaminate"]
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, near = words(40, 60), words(40, 61), words(40, 62), words(100, 63)
+    rows = [(None, a), (None, a), (1, a), (2, b), (2, b), (None, c), (None, c.upper() if c.isascii() else c), (3, a), (3, words(40, 64)), (None, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, row string").repartition(3)
+    got = corpus_pipeline.drop_exact_copies(spark, docs, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(False, 3, a), (False, 2, b), (True, 0, c), (False, 3, rows[8][1]), (False, 4, "")])
+    rows = [(None, near), (None, near + " more"), (7, near + " other"), (7, near + " other words"), (6, near + " end"), (None, b), (None, b + " x"), (8, c), (8, c), (8, a), (None, "")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, row string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert docs.columns == list(got[0].asDict())
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in got)
+    assert [x for x in left if x[0]] == sorted([(6, near + " end"), (8, a), (8, c)])
+    assert len(left) == 5 and (0, "") in left and len({t for i, t in left if not i} & {b, b + " x"}) == 1
+
+
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables[0]).count() > 100
 
