@@ -1,9 +1,9 @@
-"""Exact deduplication by a tree merge of sorted digest runs.
+"""Exact deduplication by a tree merge of digest runs.
 
 Every input partition yields a run: its digests, each once, with the count and
 the identifier to retain. Runs are merged in rounds. In a round, ``fan_in``
-neighbouring runs meet, are merged in digest order, and one row per digest goes
-on, so a group of copies of any size is never in one place: it is at most one
+neighbouring runs meet in a hash aggregation (Spark removes the sort under it, so
+nothing is merged in digest order), and one row per digest goes on, so a group of copies of any size is never in one place: it is at most one
 row per run. The digest space is cut into ranges by leading bits with a tree of
 its own each, so that the last rounds are as parallel as the first.
 
