@@ -248,6 +248,26 @@ def test_exact_dedup_edges(spark, empty):
         exact_dedup.exact_dedup(empty, keep="any").collect()
 
 
+def test_exact_dedup_merges_sorted_runs(spark):
+    """Runs are sorted and merged: no aggregation in the plan; blocks of every run are in rising order; any block size gives the same groups."""
+    rows = [(i, f"text {i % 400}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    want = {hashlib.sha256(f"text {k}".encode()).digest(): (k, len(range(k, 3000, 400))) for k in range(400)}
+    for block in (8192, 7):
+        table = scratch.materialise(exact_dedup.digests(docs), "digests-test")
+        groups = exact_dedup.merge_runs(table, fan_in=2, block=block)
+        plan = groups._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("Sort [") >= 2 and plan.count("MapInArrow") >= 3
+        got = {bytes(r["key"][:32]): (r["keep_id"], r["group_size"]) for r in groups.collect()}
+        assert got == want
+        last: dict = {}
+        for r in exact_dedup.sorted_runs(table, "smallest", 3, block).collect():
+            keys = [x.ljust(exact_dedup.KEY_BYTES, b"\0") for x in np.frombuffer(r["block"], exact_dedup.RECORD)["key"].tolist()]
+            assert keys == sorted(set(keys)) and keys[0] == bytes(r["first"]) and len(keys) <= block
+            assert keys[0] > last.get(r["run"], b"")
+            last[r["run"]] = keys[-1]
+
+
 # --- URL filter ------------------------------------------------------------------
 
 
