@@ -141,6 +141,51 @@ def test_warc_min_bytes_and_empty(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_warc_repeated_rows(spark):
+    """Repeated pages, segmented or not, come back as often as they went in; equal identifiers with different payloads stay apart."""
+    big, other = words(9000, 70), words(8000, 71)
+    html = [(1, big), (1, big), (1, "tiny"), (1, "tiny"), (2, "tiny"), (3, other), (3, big), (None, other), (None, other)]
+    pages = spark.createDataFrame([(i, None, t, "x", 3) for i, t in html], "page_id long, url string, html string, digest string, n int").repartition(3)
+    path = scratch.new_path(spark, "warc-test")
+    warc.write_warc(pages, path, compression=None)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, path).collect())
+    size = {t: len(t.encode()) for _, t in html}
+    assert got == {(3, size[big], "response", None): 1, (1, size[big], "revisit", 3): 2, (2, 4, "response", None): 1, (1, 4, "revisit", 2): 2, (3, size[other], "response", None): 1, (None, size[other], "revisit", 3): 2}
+    path = scratch.new_path(spark, "warc-test")
+    warc.write_warc(pages.where("page_id = 1"), path)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"]) for r in warc.read_warc(spark, path).collect())
+    assert got == {(1, size[big], "response"): 2, (1, 4, "response"): 2}
+
+
+def test_warc_records_have_the_mandatory_fields(spark):
+    path = scratch.new_path(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame([(i, f"http://h/{i}", words(400, i)) for i in (1, 2)] + [(3, "u", words(400, 1))], "page_id long, url string, html string"), path, compression=None, segment_bytes=900, date="2024-01-02T03:04:05Z")
+    records = [r[0] for r in spark.read.option("lineSep", warc.MAGIC).text(path).collect() if r[0]]
+    idents = []
+    for r in records:
+        fields, block = warc._header(r.encode())
+        assert fields["warc-date"] == "2024-01-02T03:04:05Z" and int(fields["content-length"]) == len(block) and r.encode().endswith(b"\r\n\r\n")
+        idents.append(fields["warc-record-id"])
+        if fields["warc-type"] == "response":
+            assert fields["content-type"] == "application/http; msgtype=response"
+    kinds = Counter(warc._header(r.encode())[0]["warc-type"] for r in records)
+    assert len(set(idents)) == len(idents) and kinds["warcinfo"] >= 1 and kinds["response"] == 2 and kinds["revisit"] == 1 and kinds["continuation"] > 4
+
+
+def test_warc_reads_archives_of_others(spark):
+    body = bytes(range(256))
+    record = lambda kind, ident, more, block: b"\r\n".join([b"WARC/1.1", f"WARC-Type: {kind}".encode(), f"warc-record-id:<{ident}>".encode(), b"WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}".encode(), b"", block]) + b"\r\n\r\n"
+    raw = record("warcinfo", "urn:a", [], b"x: y") + record("request", "urn:r", [], b"GET / HTTP/1.1\r\n\r\n") + record("response", "urn:b", [b"WARC-Target-URI: http://h/"], b"HTTP/1.1 200 OK\r\nContent-Type: image/x\r\n\r\n" + body)
+    path = scratch.new_path(spark, "warc-foreign").removeprefix("file://")
+    import os
+
+    os.makedirs(path)
+    with open(f"{path}/a.warc", "wb") as f:
+        f.write(raw)
+    got = warc.read_records(spark, f"file://{path}").collect()
+    assert [(r["uri"], r["page_id"], r["payload_bytes"], r["digest"]) for r in got] == [("http://h/", None, 256, warc.digest32(body))]
+
+
 def test_chunked_framing():
     for payload in (b"", b"x", b"WARC/1.1\r\n" * 5, "é".encode() * 999):
         body = warc.encode_chunked(payload, 10)
@@ -153,7 +198,7 @@ def test_chunked_framing():
 def test_segments_are_verified(spark):
     from pyspark.errors import PythonException
 
-    rows = spark.createDataFrame([("o", 1, 1, None, "D", "ab"), ("o", 1, 3, 9, None, "cd")], "ident string, page_id long, segment int, total long, digest string, block string")
+    rows = spark.createDataFrame([("o", 1, 1, None, "D", b"ab"), ("o", 1, 3, 4, None, b"cd")], "ident string, page_id long, segment int, total long, digest string, block binary")
     with pytest.raises(PythonException, match="segments"):
         warc.reassemble(rows).collect()
 
