@@ -2,7 +2,8 @@
 
 A string of ``length`` bytes is repeated where it also starts earlier: in a row
 with a smaller identifier, or in the same text. All bytes of such strings are
-removed.
+removed. A row is known by its identifier and, where identifiers repeat, by the
+hash of its text, which also orders rows of one identifier.
 
 Equal strings are brought together by their content. The string's anchor is its
 GRAM-byte substring of least hash (the last of equals), so equal strings have
@@ -21,8 +22,9 @@ digest. Segments are compared by two 64-bit hashes.
 
 Defined results: null text counts as empty; texts shorter than ``length`` stay
 whole; rows with a null identifier stay whole and repeat nothing; rows with equal
-identifiers are at one place, so neither is earlier; an empty table gives an
-empty result; other columns are not read.
+identifiers and different texts come in the order of their texts' hashes; rows
+with equal identifiers and texts are one place, so neither is earlier and both
+are cut alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -152,14 +154,15 @@ def prefix_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     return sa, bound[:n]
 
 
-def block_repeats(chunks: list[bytes], counts: np.ndarray, docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_repeats(chunks: list[bytes], counts: np.ndarray, docs: np.ndarray, hashes: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of segments in one block: places (segment, start) that repeat an earlier one, as two arrays; and a mark of classes' firsts as flat places."""
     text = np.frombuffer(b"\xff".join(chunks) + b"\xff", np.uint8)
     sizes = np.array([len(c) for c in chunks])
     begin = np.cumsum(sizes + 1) - sizes - 1
     sa, bound = prefix_classes(text, length)
-    rank = np.empty(len(chunks), np.int64)
-    rank[np.lexsort((starts, docs))] = np.arange(len(chunks))
+    by_place = np.lexsort((starts, hashes, docs))
+    rank = np.empty(len(chunks), np.int64)  # equal for segments of equal rows, of which neither is earlier
+    rank[by_place] = np.cumsum(np.concatenate([[False], (np.diff(np.stack([docs, hashes, starts])[:, by_place], axis=1) != 0).any(axis=0)]))
     width = int(counts.max()) + 1
     nothing = np.iinfo(np.int64).max
     order = np.full(len(text), nothing)
@@ -182,88 +185,90 @@ def _batch(schema: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, _ARROW[k]) for c, (_, k) in zip(cols, pairs, strict=True)], [n for n, _ in pairs])
 
 
-_SEGMENT = "doc_id long, start int, count int, anchor long, segment long"
-_SOURCE = "anchor long, salt int, salts int, doc_id long, start int, count int, piece binary"
-_FOUND = "doc_id long, start int, count int, d1 long, d2 long"
+_SEGMENT = "doc_id long, text_hash long, start int, count int, anchor long, segment long"
+_SOURCE = "anchor long, salt int, salts int, doc_id long, text_hash long, start int, count int, piece binary"
+_FOUND = "doc_id long, text_hash long, start int, count int, d1 long, d2 long"
+_ROW = ["doc_id", "text_hash"]
 
 
 def find_segments(own: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, data, offsets in kernel.text_chunks(batch.column(1)):
+            ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j, data, offsets in kernel.text_chunks(batch.column(2)):
                 row, start, count, anchor, whole = segments(data, offsets, length)
-                yield _batch(_SEGMENT, ids[i:j][row], start.astype(np.int32), count.astype(np.int32), kernel.signed(anchor), kernel.signed(whole))
+                yield _batch(_SEGMENT, ids[i:j][row], hashes[i:j][row], start.astype(np.int32), count.astype(np.int32), kernel.signed(anchor), kernel.signed(whole))
 
     return own.where(F.octet_length("text") >= length).mapInArrow(cut, _SEGMENT)
 
 
 def repeated_ranges(own: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, count): ranges of starts of strings that are repeats. ``own``: (doc_id, text), dealt by doc_id."""
+    """(doc_id, text_hash, start, count): ranges of starts of strings that are repeats. ``own``: (doc_id, text_hash, text)."""
     found = find_segments(own.where("doc_id IS NOT NULL"), length)
     # from files, so that the join's sides are plain shuffles, whose large partitions Spark can split
     often = scratch.materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     shared = scratch.materialise(found.join(often, "anchor", "left_semi"), "segments")
-    place = F.struct("doc_id", "start")
+    place = F.struct(*_ROW, "start")
     distinct = scratch.materialise(
         shared.groupBy("anchor", "segment").agg(F.min(place).alias("at"), F.min("count").alias("count"), F.count(F.lit(1)).alias("n")).select("anchor", "segment", "at", "count", "n"), "distinct-segments"
     )
     many = distinct.where("n > 1").select("anchor", "segment", "at")
-    copies = shared.join(many, ["anchor", "segment"]).where(~(F.struct("doc_id", "start") == F.col("at"))).select("doc_id", "start", "count")
+    copies = shared.join(many, ["anchor", "segment"]).where(~(place == F.col("at"))).select(*_ROW, "start", "count")
     mixed = scratch.materialise(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "mixed-anchors")
     salts = F.ceil(F.col("kinds") / SEGMENTS).cast("int")
     sources = (
         distinct.join(mixed, "anchor")
-        .select("anchor", F.pmod(F.col("segment"), salts.cast("long")).cast("int").alias("salt"), salts.alias("salts"), "at.doc_id", "at.start", "count")
-        .groupBy("doc_id")
+        .select("anchor", F.pmod(F.col("segment"), salts.cast("long")).cast("int").alias("salt"), salts.alias("salts"), "at.doc_id", "at.text_hash", "at.start", "count")
+        .groupBy(*_ROW)
         .agg(F.collect_list(F.struct("anchor", "salt", "salts", "start", "count")).alias("parts"))
     )
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-            for r, text in enumerate(batch.column(1).cast(pa.binary())):
+            ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            parts = batch.column(3)
+            for r, text in enumerate(batch.column(2).cast(pa.binary())):
                 data, f = text.as_buffer(), parts[r].values
                 anchor, salt, salts, start, count = (f.field(k) for k in range(5))
                 cut = [bytes(memoryview(data)[s : s + c + length - 1]) for s, c in zip(start.to_pylist(), count.to_pylist(), strict=True)]
-                yield _batch(_SOURCE, anchor, salt, salts, np.full(len(cut), ids[r]), start, count, pa.array(cut, pa.binary()))
+                yield _batch(_SOURCE, anchor, salt, salts, np.full(len(cut), ids[r]), np.full(len(cut), hashes[r]), start, count, pa.array(cut, pa.binary()))
 
     def solve(rows: list[list]) -> pa.RecordBatch:
-        anchor, salts, docs, starts, counts, chunks = rows
-        docs, starts, counts, salts = (np.array(x, np.int64) for x in (docs, starts, counts, salts))
-        owner, inner, later = block_repeats(chunks, counts, docs, starts, length)
+        _, salts, docs, hashes, starts, counts, chunks = rows
+        docs, hashes, starts, counts, salts = (np.array(x, np.int64) for x in (docs, hashes, starts, counts, salts))
+        owner, inner, later = block_repeats(chunks, counts, docs, hashes, starts, length)
         edge = np.flatnonzero(later & np.concatenate([[True], ~later[:-1] | (owner[1:] != owner[:-1])]))
         stop = np.flatnonzero(later & np.concatenate([~later[1:] | (owner[1:] != owner[:-1]), [True]]))
-        out = [docs[owner[edge]], starts[owner[edge]] + inner[edge], stop - edge + 1, np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)]
+        out = [docs[owner[edge]], hashes[owner[edge]], starts[owner[edge]] + inner[edge], stop - edge + 1, np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)]
         kept = np.flatnonzero(~later & (salts[owner] > 1))
         if len(kept):  # firsts of a salted anchor: to be compared with those of its other tasks
             digest = [np.frombuffer(hashlib.blake2b(chunks[o][i : i + length], digest_size=16).digest(), np.int64) for o, i in zip(owner[kept].tolist(), inner[kept].tolist(), strict=True)]
             d = np.array(digest)
-            out = [np.concatenate(x) for x in zip(out, (docs[owner[kept]], starts[owner[kept]] + inner[kept], np.zeros(len(kept), np.int64), d[:, 0], d[:, 1]), strict=True)]
-        return _batch(_FOUND, out[0], out[1].astype(np.int32), out[2].astype(np.int32), out[3], out[4])
+            out = [np.concatenate(x) for x in zip(out, (docs[owner[kept]], hashes[owner[kept]], starts[owner[kept]] + inner[kept], np.zeros(len(kept), np.int64), d[:, 0], d[:, 1]), strict=True)]
+        return _batch(_FOUND, out[0], out[1], out[2].astype(np.int32), out[3].astype(np.int32), out[4], out[5])
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], [], []]
+        held: list[list] = [[] for _ in range(7)]
         size, last = 0, None
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for anchor, salt, salts, doc, start, count, piece in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(8)]
+            for anchor, salt, salts, doc, text_hash, start, count, piece in zip(*cols, strict=True):
                 if (anchor, salt) != last and size > BLOCK_BYTES:
                     yield solve(held)
-                    held, size = [[], [], [], [], [], []], 0
+                    held, size = [[] for _ in range(7)], 0
                 last = (anchor, salt)
-                for x, v in zip(held, (anchor, salts, doc, start, count, piece), strict=True):
+                for x, v in zip(held, (anchor, salts, doc, text_hash, start, count, piece), strict=True):
                     x.append(v)
                 size += len(piece)
         if size:
             yield solve(held)
 
-    cut = own.join(sources.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "parts").mapInArrow(pieces, _SOURCE)
+    cut = own.join(sources.hint("shuffle_hash"), _ROW).select(*_ROW, "text", "parts").mapInArrow(pieces, _SOURCE)
     solved = scratch.materialise(cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(transform, _FOUND), "repeats")
     firsts = solved.where("count = 0")
-    least = firsts.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "at")
-    across = firsts.join(least, ["d1", "d2"]).where(~(F.struct("doc_id", "start") == F.col("at"))).select("doc_id", "start", F.lit(1).alias("count"))
-    return copies.unionByName(solved.where("count > 0").select("doc_id", "start", "count")).unionByName(across)
+    least = firsts.groupBy("d1", "d2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "at")
+    across = firsts.join(least, ["d1", "d2"]).where(~(place == F.col("at"))).select(*_ROW, "start", F.lit(1).alias("count"))
+    return copies.unionByName(solved.where("count > 0").select(*_ROW, "start", "count")).unionByName(across)
 
 
 def substring_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,8 +280,11 @@ def substring_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
         raise ValueError(f"length must be over {GRAM}")
     width = scratch.partitions(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = own.repartition(width, "doc_id")
-    ranges = repeated_ranges(own, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
+    ids = own.where("doc_id IS NOT NULL").select("doc_id")
+    unique = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    own = own.select("doc_id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("text_hash"), "text")
+    dealt = own.repartition(width, *_ROW)
+    ranges = repeated_ranges(own, length).groupBy(*_ROW).agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,4 +315,4 @@ def substring_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
             )
 
     out = "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, n_removed long, kept_sha256 string, kept binary"
-    return dealt.join(ranges.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(apply, out).withColumn("n_spans", F.size("spans").cast("long"))
+    return dealt.join(ranges.hint("shuffle_hash"), _ROW, "left").select("doc_id", "text", "ranges").mapInArrow(apply, out).withColumn("n_spans", F.size("spans").cast("long"))

@@ -88,6 +88,20 @@ def test_substring_dedup_edges(spark, empty):
         substring_dedup.substring_dedup(rows, 10)
 
 
+def test_substring_dedup_repeated_identifiers(spark):
+    """Rows of one identifier are rows of their own, in the order of their texts' hashes; equal rows are cut alike."""
+    shared, own = words(40, 11), words(300, 12)
+    rows = [(4, own + shared), (4, "short"), (4, words(200, 13)), (2, shared), (4, shared + words(30, 14)), (4, own + shared), (7, words(90, 13) + own), (7, own), (9, None), (9, shared)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, start int, text_hash string").repartition(3)
+    place = {r["text"] or "": r["h"] for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted({(i, place[t or ""], t or "") for i, t in rows})
+    at = {(i, t): k for k, (i, _, t) in enumerate(order)}
+    want = brute_removed([(k, t) for k, (_, _, t) in enumerate(order)], 100)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == sorted((i, *want[at[i, t or ""]]) for i, t in rows)
+    assert sum(r[2] > 0 for r in got) >= 3
+
+
 def test_prefix_classes_match_sorting():
     rng = np.random.default_rng(3)
     for n, k in ((50, 3), (400, 6), (2000, 8)):
