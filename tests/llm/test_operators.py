@@ -269,6 +269,48 @@ def test_near_dedup_edges(spark, empty):
     assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str) == sorted([(None, None, True), (7, 7, True), (7, 7, True), (9, 7, False)], key=str)
 
 
+def test_near_dedup_repeated_identifiers(spark):
+    """A document is its identifier, with all texts of its rows."""
+    a, b, c = words(60, 21), words(60, 22), words(60, 23)
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (5, c), (5, c), (5, c.upper() if c.isascii() else c), (4, c + " x"), (6, ""), (6, c), (8, None), (None, a)]
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n int, id string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(docs).collect()), key=str)
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 8: 8}
+    expected = [(i, len(shingles(t)), (want[i] if shingles(t) else i) if i else None, not i or (want[i] if shingles(t) else i) == i) for i, t in rows]
+    assert got == sorted(expected, key=str)
+
+
+def boilerplate(pairs: int, share: float, common: int = 120) -> list[tuple]:
+    """Documents that share a text; half of them have one near-copy each, beside which they are linked with nothing."""
+    same, rows = words(common, 31), []
+    for k in range(pairs):
+        own = words(int(common * (1 - share) / share), 4000 + k).split()
+        rows.append((len(rows), f"{same} {' '.join(own)}"))
+        if k % 2 == 0:
+            own[len(own) // 2] = "changed"
+            rows.append((len(rows), f"{same} {' '.join(own)}"))
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.4, 0.6])
+def test_near_dedup_large_buckets(spark, monkeypatch, share):
+    """Buckets and clusters of many blocks: pairs whose members share a text with all others are found; what guests send stays near the candidates."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 12)
+    rows = boilerplate(120, share)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sent = []
+    visits = near_dedup._visits
+    monkeypatch.setattr(near_dedup, "_visits", lambda *a: (sent.append(out := visits(*a).persist()), out)[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(docs).collect()}
+    want = brute_components(rows, 85)
+    linked = {i for i, w in want.items() if w[1] != i}
+    assert len(linked) >= 60
+    assert sum(got[i] == want[i] for i in linked) / len(linked) >= 0.95
+    assert all(got[i][1] == want[i][1] or i in linked for i in want)
+    blocks = -(-len(rows) // 12)
+    assert sum(x.count() for x in sent) < len(rows) * (blocks - 1)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7)] + [(1000, k) for k in range(1001, 1050)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
