@@ -1,13 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks over a few successive words ignore some positions, so a substituted
-word there does not change the hash. The masks' hashes of the benchmark items
-are joined with those of all documents; around each hit, item and document are
-laid along the hit's diagonal and the overlap is verified: some ``window`` words
-in a row (the whole item, if it is shorter) with a share of ``min_share`` equal.
-
-The benchmark goes to the executors in blocks of at most ``max_block_bytes`` of
-text; a larger benchmark takes more passes over the documents, each as bounded.
+word there does not change the hash. The masks' hashes (seeds) of the benchmark
+items are joined with those of all documents; around each hit, item and document
+are laid along the hit's diagonal and the overlap is verified: some ``window``
+words in a row (the whole item, if it is shorter) with a share of ``min_share``
+equal.
+
+Both sides of the join are shuffled by seed. Before that a Bloom filter of the
+benchmark's seeds, of at most ``max_filter_bytes``, leaves out the documents'
+seeds that no item has; a benchmark of any size takes one pass over the seeds,
+and a filter that is too small for it only lets more of them through. A run of
+one seed at successive places is one row, and two runs meet in a range of
+diagonals, so repeated words on both sides do not multiply. Only texts with a
+hit go on, each different text once, to the task that verifies them; only rows
+whose text overlaps are joined with the result, the others stay where they are.
 
 Words are runs of letters, digits and bytes from 128, lower-cased (A-Z and À-Þ),
 so punctuation and case do not matter. In scripts without spaces (Han, kana,
@@ -16,23 +23,26 @@ left out; hangul has spaces.
 
 The masks find any two substitutions in 13 words. Where the overlap to verify is
 shorter, or ``min_share`` admits more, the seeds are plain runs of words instead: with k
-substitutions admitted, one of k + 1 equal parts of the overlap is whole.
-
-Defined results: null and empty texts overlap with nothing; items shorter than
-``min_item`` words (or letters, in unspaced scripts) are not searched for, even verbatim; equal items are reported each; repeated
-rows give repeated results; a null item identifier is reported as -1; an empty table gives an empty result, an empty
-benchmark clean documents; other columns are not read.
+substitutions admitted, one of k + 1 equal parts of the overlap is whole. Items
+of fewer than ``exact_below`` words are searched for verbatim, each by the hash
+of the whole item.
+
+Defined results: null and empty texts and items overlap with nothing; items of
+fewer than ``min_item`` words are not searched for (1: all are); equal items are
+reported each, in the order of their identifiers, one without an identifier with
+a null; rows with equal texts get equal results; an empty table gives an empty
+result, an empty benchmark clean documents; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pathloom.llm import kernel, scratch
 from pathloom.llm.toxicity import fold_case
@@ -41,7 +51,8 @@ from pathloom.llm.toxicity import fold_case
 MASKS = ("111111", "11101011", "110110101", "1101001011", "10110010011")
 _GAP = np.ones(256, bool)
 _GAP[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
-_FILTER_BITS = 22
+#: Bits of the filters per key, and places that a key sets.
+FILTER_SHARE, FILTER_PLACES = 24, 3
 #: Words of a plain run at most, as ``seed_hashes`` has values for.
 MAX_RUN = 40
 
@@ -117,138 +128,222 @@ def plan_seeds(n: int, window: int, min_share: float) -> tuple[tuple[str, ...],
     return ("1" * run,), None if n > size else np.arange(missing + 1) * run
 
 
-class SeedIndex:
-    """Sorted seeds of a block of items."""
-
-    def __init__(self, items: Sequence[tuple[int, str]], min_item: int, window: int = 13, min_share: float = 0.8):
-        self.ids, self.tokens = [], []
-        self.masks: list[str] = []
-        seeds, where = [], []
-        for ident, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            tokens = words(data, np.array([0, len(data)]))[0]
-            if len(tokens) < min_item:
-                continue
-            if not len(tokens):
-                continue
-            masks, starts = plan_seeds(len(tokens), window, min_share)
-            for mask in masks:
-                h = seed_hashes(tokens, mask)
-                at = np.arange(len(h)) if starts is None else starts
-                seeds.append(h[at])
-                where.append(np.stack([np.full(len(at), len(self.ids)), at]))
-                if mask not in self.masks:
-                    self.masks.append(mask)
-            self.ids.append(-1 if ident is None else ident)
-            self.tokens.append(tokens)
-        h = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        at = np.concatenate(where, axis=1) if where else np.zeros((2, 0), np.int64)
-        order = np.argsort(h, kind="stable")
-        self.seeds, self.where = h[order], at[:, order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
-
-    def hits(self, tokens: np.ndarray) -> set[tuple[int, int]]:
-        """(item, diagonal): token i of the text lies on token i - diagonal of the item."""
-        out: set[tuple[int, int]] = set()
-        if not len(self.seeds):
-            return out
-        for mask in self.masks:
-            h = seed_hashes(tokens, mask)
-            at = np.flatnonzero(self.filter[h >> np.uint64(64 - _FILTER_BITS)])
-            if not len(at):
-                continue
-            a, b = np.searchsorted(self.seeds, h[at], side="left"), np.searchsorted(self.seeds, h[at], side="right")
-            n = b - a
-            if not n.sum():
-                continue
-            start = np.repeat(at, n)
-            entry = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item, pos = self.where[:, entry]
-            out.update(zip(item.tolist(), (start - pos).tolist(), strict=True))
+def item_share(n: int, min_share: float, exact_below: int) -> float:
+    """Share of equal words that an overlap with an item of ``n`` words needs."""
+    return 1.0 if n < exact_below else min_share
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return first, np.diff(np.append(first, len(values)))
+
+
+def verify(tokens: np.ndarray, own: np.ndarray, diagonal: int, window: int, min_share: float) -> tuple[int, int, float]:
+    """Start, end and share of equal words of the best window of the overlap along a diagonal (word i of the text on word i - diagonal of the item), or share 0."""
+    lo, hi = max(0, diagonal), min(len(tokens), diagonal + len(own))
+    size = min(window, len(own))
+    if hi - lo < size:
+        return lo, hi, 0.0
+    same = tokens[lo:hi] == own[lo - diagonal : hi - diagonal]
+    total = np.concatenate([[0], np.cumsum(same)])
+    counts = total[size:] - total[:-size]
+    good = np.flatnonzero(counts >= min_share * size)
+    if not len(good):
+        return lo, hi, 0.0
+    return lo + int(good[0]), lo + int(good[-1]) + size, float(counts.max() / size)
+
+
+def best_overlap(tokens: np.ndarray, own: np.ndarray, diagonals: list[tuple[int, int]], window: int, min_share: float) -> tuple[int, int, float]:
+    """The best overlap over ranges of diagonals, the first of equals."""
+    best, done = (0, 0, 0.0), None
+    for first, last in sorted(diagonals):
+        for d in range(first if done is None else max(first, done + 1), last + 1):
+            got = verify(tokens, own, d, window, min_share)
+            if got[2] > best[2]:
+                best = got
+                if best[2] == 1.0:
+                    return best
+        done = last if done is None else max(done, last)
+    return best
+
+
+def item_seeds(benchmark: DataFrame, window: int, min_share: float, min_item: int, exact_below: int) -> DataFrame:
+    """(item, item_id, mask, seed, first, times, tokens): runs of an item's seeds; its words once, in a row without a seed."""
+    schema = "item long, item_id long, mask string, seed long, first int, times int, tokens binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for item, ident, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = np.frombuffer((text or "").encode(), np.uint8)
+                tokens = words(data, np.array([0, len(data)]))[0]
+                if len(tokens) < max(1, min_item):
+                    continue
+                rows.append((item, ident, None, None, None, None, tokens.tobytes()))
+                masks, starts = plan_seeds(len(tokens), window, item_share(len(tokens), min_share, exact_below))
+                for mask in masks:
+                    h = seed_hashes(tokens, mask)
+                    if starts is None:
+                        first, times = runs(h)
+                    else:
+                        first, times = starts, np.ones(len(starts), np.int64)
+                    rows += [(item, None, mask, s, a, n, None) for s, a, n in zip(kernel.signed(h[first]).tolist(), first.tolist(), times.tolist(), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+    return benchmark.mapInArrow(cut, schema)
+
+
+class KeyFilter:
+    """Bloom filter of a column of 64-bit hashes: its words are combined by Spark, so the driver holds it alone."""
+
+    def __init__(self, keys: DataFrame, column: str, max_bytes: int):
+        n = keys.count()
+        bits = max(16, min(int(max_bytes * 8).bit_length() - 1, int(n * FILTER_SHARE).bit_length()))
+        self.shift = 64 - bits
+        self.skips = [self.shift * k // (FILTER_PLACES - 1) for k in range(FILTER_PLACES)]  # places are bits of the hash, from its head to its end
+        places = [F.shiftrightunsigned(F.shiftleft(F.col(column), k), self.shift) for k in self.skips]
+        place = keys.select(F.explode(F.array(*places)).alias("p"))
+        words = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow()
+        self.words = np.zeros(1 << max(0, bits - 6), np.uint64)
+        self.words[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for k in self.skips:
+            p = (h << np.uint64(k)) >> np.uint64(self.shift)
+            out &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
         return out
 
-    def verify(self, tokens: np.ndarray, item: int, diagonal: int, window: int, min_share: float) -> tuple[int, int, float]:
-        """Start, end and share of equal words of the best window of the overlap, or share 0."""
-        own = self.tokens[item]
-        lo, hi = max(0, diagonal), min(len(tokens), diagonal + len(own))
-        size = min(window, len(own))
-        if hi - lo < size:
-            return lo, hi, 0.0
-        same = tokens[lo:hi] == own[lo - diagonal : hi - diagonal]
-        total = np.concatenate([[0], np.cumsum(same)])
-        counts = total[size:] - total[:-size]
-        good = np.flatnonzero(counts >= min_share * size)
-        if not len(good):
-            return lo, hi, 0.0
-        return lo + int(good[0]), lo + int(good[-1]) + size, float(counts.max() / size)
-
-
-def benchmark_blocks(benchmark: DataFrame, max_block_bytes: int, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size, as the driver reads them one after another."""
-    block, held = [], 0
-    for row in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        if block and held + len(row["t"] or "") > max_block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((row["i"], row["t"]))
-        held += len(row["t"] or "")
-    if block:
-        yield block
-
-
-def overlaps_with(docs: DataFrame, index: SeedIndex, window: int, min_share: float) -> DataFrame:
-    """The columns after the first, which is the text, and the overlaps with one block."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = docs.columns[1:]
-    spans = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("first_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()), T.StructField("share", T.DoubleType())]))
-    schema = T.StructType([*docs.schema.fields[1:], T.StructField("overlaps", spans)])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+
+_KEY = ["k1", "k2"]
+
+
+def _text_key(text: Column) -> list[Column]:
+    """128-bit hash of a text: equal texts have equal results."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
+
+
+def document_seeds(docs: DataFrame, masks: list[str], seeds: KeyFilter) -> DataFrame:
+    """(k1, k2, mask, seed, first, times): runs of the seeds of (k1, k2, text) that the filter lets through. ``mask`` is its number."""
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+    names = "k1 k2 mask seed first times".split()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            lists: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
-            for i, _, data, offsets in kernel.text_chunks(batch.column(0)):
+            k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i, _, data, offsets in kernel.text_chunks(batch.column(2)):
                 tokens, rows = words(data, offsets)
-                by_row: dict[int, set[tuple[int, int]]] = {}
-                for item, diagonal in index.hits(tokens):  # over the whole chunk at once; a diagonal may run into several rows
-                    for r in range(int(np.searchsorted(rows, max(0, diagonal), side="right")) - 1, int(np.searchsorted(rows, diagonal + len(index.tokens[item]) - 1, side="right"))):
-                        if 0 <= r < len(rows) - 1:
-                            by_row.setdefault(r, set()).add((item, diagonal - int(rows[r])))
-                for r, hits in by_row.items():
-                    own = tokens[rows[r] : rows[r + 1]]
-                    best: dict[int, tuple[int, int, float]] = {}
-                    for item, diagonal in sorted(hits):
-                        a, b, share = index.verify(own, item, diagonal, window, min_share)
-                        if share > best.get(item, (0, 0, 0.0))[2]:
-                            best[item] = (a, b, share)
-                    lists[i + r] = [{"item_id": index.ids[k], "first_word": a, "end_word": b, "share": s} for k, (a, b, s) in sorted(best.items())]
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lists, kind)], [*names, "overlaps"])
-
-    return docs.mapInArrow(search, schema)
+                for number, mask in enumerate(masks):
+                    h = seed_hashes(tokens, mask)
+                    at = np.flatnonzero(known.may_hold(h))
+                    row = np.searchsorted(rows, at, side="right") - 1
+                    whole = at + len(mask) <= rows[row + 1]  # a seed lies in one text
+                    at, row = at[whole], row[whole]
+                    if not len(at):
+                        continue
+                    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]) | (h[at[1:]] != h[at[:-1]])]))
+                    times = np.diff(np.append(new, len(at)))
+                    at, row = at[new], row[new]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k1[i + row]), pa.array(k2[i + row]), pa.array(np.full(len(at), number, np.int16)), pa.array(kernel.signed(h[at])), pa.array((at - rows[row]).astype(np.int32)), pa.array(times.astype(np.int32))], names
+                    )
+
+    return docs.select(*_KEY, "text").mapInArrow(cut, "k1 long, k2 long, mask short, seed long, first int, times int")
+
+
+_SPANS = "array<struct<item_id: long, first_word: int, end_word: int, share: double>>"
+
+
+def overlaps(texts: DataFrame, hits: DataFrame, window: int, min_share: float, exact_below: int) -> DataFrame:
+    """(k1, k2, overlaps) of different texts (k1, k2, text) with hits (k1, k2, item_id, item, tokens, ranges); one text's words are held at a time."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tokens, found = None, np.zeros(0, np.uint64), []
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if found:
+                rows = [{"item_id": i, "first_word": a, "end_word": b, "share": s} for _, i, a, b, s in sorted(found, key=lambda x: (x[1] is None, x[1] or 0, x[0]))]
+                kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("end_word", pa.int32()), ("share", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([rows], kind)], [*_KEY, "overlaps"])
+
+        for batch in batches:
+            text, own = batch.column(4), batch.column(5)
+            for r, (k1, k2, item, ident, ranges) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 6)), strict=True)):
+                if (k1, k2) != last:
+                    yield from result()
+                    last, tokens, found = (k1, k2), np.zeros(0, np.uint64), []
+                if item is None:  # the text itself comes first
+                    data = np.frombuffer(text[r].as_py().encode(), np.uint8)
+                    tokens = words(data, np.array([0, len(data)]))[0]
+                    continue
+                other = np.frombuffer(own[r].as_buffer(), np.uint64)
+                a, b, share = best_overlap(tokens, other, [(x["a"], x["b"]) for x in ranges], window, item_share(len(other), min_share, exact_below))
+                if share:
+                    found.append((item, ident, a, b, share))
+        yield from result()
+
+    none = lambda k: F.lit(None).cast(k)
+    kinds = "array<struct<a: int, b: int>>"
+    left = texts.select(*_KEY, none("long").alias("item"), none("long").alias("item_id"), "text", none("binary").alias("tokens"), none(kinds).alias("ranges"))
+    right = hits.select(*_KEY, "item", "item_id", none("string").alias("text"), "tokens", F.col("ranges").cast(kinds).alias("ranges"))
+    return left.unionByName(right).repartition(*_KEY).sortWithinPartitions(*_KEY, F.col("item").asc_nulls_first()).mapInArrow(check, f"k1 long, k2 long, overlaps {_SPANS}")
+
+
+def find_overlaps(own: DataFrame, benchmark: DataFrame, window: int, min_share: float, min_item: int, exact_below: int, max_filter_bytes: int) -> DataFrame | None:
+    """(k1, k2, overlaps) of the texts of ``own`` (k1, k2, text) that have any; None where no item has words."""
+    spark = own.sparkSession
+    numbered = scratch.materialise(benchmark.withColumn("item", F.monotonically_increasing_id()).select("item", "item_id", "text"), "benchmark")
+    cut = scratch.materialise(item_seeds(numbered, window, min_share, min_item, exact_below), "item-seeds")
+    seeds, items = cut.where("seed IS NOT NULL"), cut.where("seed IS NULL").select("item", "item_id", "tokens")
+    masks = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())  # as many as MASKS, and runs of 1 to MAX_RUN words
+    if not masks:
+        return None
+    number = F.array_position(F.array(*[F.lit(m) for m in masks]), F.col("mask")) - 1
+    theirs = seeds.select(number.cast("short").alias("mask"), "seed", "item", F.col("first").alias("item_first"), F.col("times").alias("item_times"))
+    ours, ours_path = scratch.write(document_seeds(own, masks, KeyFilter(seeds, "seed", max_filter_bytes)), "document-seeds")
+    # a run of n places on a run of m places: diagonals from the first on the last to the last on the first
+    a, b = F.col("first") - F.col("item_first") - F.col("item_times") + 1, F.col("first") + F.col("times") - 1 - F.col("item_first")
+    met = ours.join(theirs, ["mask", "seed"]).select(*_KEY, "item", a.cast("int").alias("a"), b.cast("int").alias("b"))
+    hits = scratch.materialise(met.groupBy(*_KEY, "item").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "hits")
+    scratch.remove(spark, ours_path)
+    texts = may_be_in(own, hits, max_filter_bytes).groupBy(*_KEY).agg(F.first("text").alias("text")).join(hits.select(*_KEY).distinct(), _KEY, "left_semi")
+    return scratch.materialise(overlaps(texts, hits.join(items, "item"), window, min_share, exact_below), "overlaps")
+
+
+def may_be_in(rows: DataFrame, keys: DataFrame, max_filter_bytes: int, inside: bool = True) -> DataFrame:
+    """Rows whose key the filter of ``keys`` lets through (or does not); only their hash goes to Python."""
+    shared = rows.sparkSession.sparkContext.broadcast(KeyFilter(keys.select("k1").distinct(), "k1", max_filter_bytes))
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.may_hold(h.to_numpy(np.int64).view(np.uint64)) == inside)
+
+    return rows.where(held("k1"))
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.8, min_item: int = 6, max_block_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.8, min_item: int = 1, exact_below: int = 6, max_filter_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Every row with its overlaps: (doc_id, *keep, overlaps, n_items, contaminated).
 
     ``overlaps`` has per benchmark item the best one: the words of the document
     from ``first_word`` to before ``end_word``, and the share of equal words.
     """
-    names = ["doc_id", *keep]
-    done = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
-    blocks = benchmark_blocks(benchmark, max_block_bytes, item_col, item_text_col)
-    block, first = next(blocks, []), True
-    while block is not None:
-        after = next(blocks, None)
-        carried = ["_text"] if after is not None else []
-        own = done.select("_text", *carried, *names, *([] if first else [F.col("overlaps").alias("_before")]))
-        done = overlaps_with(own, SeedIndex(block, min_item, window, min_share), window, min_share)
-        if not first:
-            done = done.withColumn("overlaps", F.concat("_before", "overlaps")).drop("_before")
-        if after is not None:  # the next pass starts from files, so one block at a time is on the executors
-            done = scratch.materialise(done, "overlaps")
-        block, first = after, False
-    return done.select("doc_id", *keep, "overlaps", F.size("overlaps").alias("n_items"), (F.size("overlaps") > 0).alias("contaminated"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    found = find_overlaps(docs.select(*_text_key(text), text.alias("text")), items, window, min_share, min_item, exact_below, max_filter_bytes)
+    # an own struct for what is kept, so that no name of it can clash
+    own = docs.select(*_text_key(text), F.struct(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep]).alias("own"))
+    if found is None:
+        done = own.select("own", F.array().cast(_SPANS).alias("overlaps"))
+    else:
+        clean = may_be_in(own, found, 16 << 20, inside=False).select("own", F.array().cast(_SPANS).alias("overlaps"))
+        dirty = may_be_in(own, found, 16 << 20).join(found, _KEY, "left").select("own", F.coalesce("overlaps", F.array().cast(_SPANS)).alias("overlaps"))
+        done = clean.unionByName(dirty)
+    return done.select("own.doc_id", *[F.col("own")[c].alias(c) for c in keep], "overlaps", F.size("overlaps").alias("n_items"), (F.size("overlaps") > 0).alias("contaminated"))

@@ -489,33 +489,85 @@ def test_masks_tolerate_two_substitutions():
             assert any(all((s + j) not in (a, b) for j, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for s in range(13 - len(m) + 1)), (a, b)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_decontaminate(spark, empty, block):
-    items = [(i, words(25, 900 + i).replace("ß", "s")) for i in range(5)] + [(5, "short one"), (None, None)]
+def tokens_of(text: str | None) -> np.ndarray:
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    return decontaminate.words(data, np.array([0, len(data)]))[0]
+
+
+def brute_overlaps(text: str | None, items: list[tuple], window: int = 13, min_share: float = 0.8) -> list[tuple]:
+    """Every item on every diagonal, a word at a time."""
+    t, out = tokens_of(text).tolist(), []
+    for ident, item in items:
+        w = tokens_of(item).tolist()
+        size, best = min(window, len(w)), 0
+        need = size if len(w) < 6 else next(n for n in range(size + 1) if n >= min_share * size)
+        for d in range(-len(w) + 1, len(t)) if w else ():
+            same = [t[i] == w[i - d] for i in range(max(0, d), min(len(t), d + len(w)))]
+            best = max([best, *(sum(same[i : i + size]) for i in range(len(same) - size + 1))])
+        if size and best >= need:
+            out.append((ident, round(best / size, 9)))
+    return sorted(out, key=lambda x: (x[0] is None, x[0] or 0))
+
+
+def found_overlaps(docs, bench, **more) -> dict:
+    rows = decontaminate.decontaminate(docs, bench, **more).collect()
+    return {r["doc_id"]: [(x["item_id"], round(x["share"], 9)) for x in r["overlaps"]] for r in rows}
+
+
+@pytest.mark.parametrize("filter_bytes", [64 << 20, 2])
+def test_decontaminate(spark, empty, filter_bytes):
+    items = [(i, words(25, 900 + i).replace("ß", "s")) for i in range(5)] + [(5, "short one"), (None, None), (None, words(14, 950)), (6, "same " * 40), (7, ""), (5, "short one")]
     changed = items[1][1].split()
     changed[3] = changed[11] = changed[19] = "other"
     rows = [
         (0, words(80, 1)), (1, f"{words(30, 2)} {items[0][1]} {words(30, 3)}"), (2, f"{words(30, 4)} {' '.join(changed)}"), (3, items[2][1].upper().replace(" ", ", ")),
-        (4, None), (5, ""), (6, " ".join(items[3][1].split()[:6])), (7, f"{items[4][1]} {items[0][1]}"), (8, " ".join(reversed(items[1][1].split()))), (9, "short one"),
+        (4, None), (5, ""), (6, " ".join(items[3][1].split()[:6])), (7, f"{items[4][1]} {items[0][1]}"), (8, " ".join(reversed(items[1][1].split()))), (9, "a short one"),
+        (10, items[7][1]), (11, "same " * 500), (12, items[1][1]), (13, "one short"),
     ]
-    docs = spark.createDataFrame([(*r, "o") for r in rows], "doc_id long, text string, overlaps string")
+    docs = spark.createDataFrame([(*r, "o", 5) for r in rows], "doc_id long, text string, overlaps string, k1 int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: sorted(x["item_id"] for x in r["overlaps"]) for r in decontaminate.decontaminate(docs, bench, max_block_bytes=block).collect()}
-    assert got == {0: [], 1: [0], 2: [1], 3: [2], 4: [], 5: [], 6: [], 7: [0, 4], 8: [], 9: []}
+    want = {i: brute_overlaps(t, items) for i, t in rows}
+    assert found_overlaps(docs, bench, max_filter_bytes=filter_bytes) == want
+    assert want[9] == [(5, 1.0), (5, 1.0)] and want[10] == [(None, 1.0)] and want[11] == [(6, 1.0)] and want[2] == [(1, want[2][0][1])] and not want[8]
+    kept = decontaminate.decontaminate(docs.withColumnRenamed("overlaps", "own"), bench, keep=("own", "k1"))
+    assert {(r["own"], r["k1"]) for r in kept.collect()} == {("o", 5)}
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
+    repeated = spark.createDataFrame([(1, items[0][1]), (1, items[0][1]), (1, "other"), (None, items[0][1])], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["contaminated"]) for r in decontaminate.decontaminate(repeated, bench).collect()) == [("1", False), ("1", True), ("1", True), ("None", True)]
 
 
-def test_short_items_are_found_at_every_admitted_substitution():
-    for n in range(6, 27):
-        item = [f"w{i}" for i in range(n)]
-        index = decontaminate.SeedIndex([(1, " ".join(item))], 6, 13, 0.8)
+def test_items_of_any_length_are_found_at_every_admitted_substitution(spark):
+    """All patterns of substitutions that the share admits, for items of 1 to 26 words, against all diagonals."""
+    items, rows = [], []
+    for n in range(1, 27):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
         size = min(n, 13)
-        for gone in itertools.combinations(range(size), size - decontaminate.least_equal(size, 0.8)):
+        most = 0 if n < 6 else size - decontaminate.least_equal(size, 0.8)
+        for gone in itertools.combinations(range(size), most):
             changed = ["x" if i in gone else w for i, w in enumerate(item[:size])]
-            text = f"a b c {' '.join(changed)} d e f"
-            tokens = decontaminate.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
-            assert any(index.verify(tokens, i, d, 13, 0.8)[2] >= 0.8 for i, d in index.hits(tokens)), (n, gone)
+            rows.append((n, f"a b c {' '.join(changed)} d e f"))
+        if most < size:
+            rows.append((-n, f"a b c {' '.join(['x'] * (most + 1) + item[most + 1 : size])} d e f"))  # one substitution too many
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, n long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["overlaps"]] for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, (n, text) in enumerate(rows):
+        assert got[i] == ([n] if n > 0 else []), (n, text)
+
+
+def test_decontaminate_against_all_diagonals(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(4, 30)))) for i in range(25)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 200)))) for i in range(30)]
+    for i in range(30, 60):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(w[rng.randint(0, 3) :])))
+    got = found_overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got == {i: brute_overlaps(t, items) for i, t in rows}
 
 
 def test_decontaminate_unspaced_scripts(spark):
