@@ -3,16 +3,18 @@
 A text is its words and one end. The most frequent TOP words and the end are
 symbols of their own; other words share SUFFIX symbols by their last bytes, and
 within such a symbol a word has its smoothed relative frequency. STATES latent
-states emit symbols. Baum-Welch: each partition runs the scaled forward-backward
-recursion over its training texts and sums expected counts; the sums are added
-over partitions in a tree, and the parameters follow from them. The first
-parameters come from ``warm_rounds`` on a bounded sample (about ``sample_rows``,
-at most ``sample_tokens``); ``rounds`` further rounds go over all training texts.
-
-Scoring runs the scaled forward recursion over the whole sequence: the exact
-likelihood of any length (long sequences are cut into pieces whose
-state-to-state factors are computed side by side and multiplied in order).
-Training cuts texts into pieces of TRAIN_PIECE symbols.
+states emit symbols. Baum-Welch: in every round each partition runs the scaled
+forward-backward recursion over all its training texts and sums expected counts;
+the sums are added over partitions in a tree, in a fixed order, and the
+parameters follow from them. Rounds go on until a round raises the log-likelihood
+by less than ``settle`` a token, ``rounds`` at most. The first parameters follow
+from the counts of the symbols, so that the model depends on the training texts
+alone and not on how they are partitioned (but for the rounding of sums).
+
+Both recursions run over whole sequences of any length. A long one is cut into
+pieces whose state-to-state factors are computed side by side; multiplied in
+order, they give the forward values before and the backward values after each
+piece, and the pieces follow from these.
 
 Word counts cover all training texts. The counts of the most frequent words,
 at most DICTIONARY, go to every executor; the counts of all others are joined to the documents that
@@ -35,15 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm import kernel, scratch, training
+from pathloom.llm import kernel, scratch
 
 STATES = 8
 TOP, SUFFIX = 4096, 1024
 SYMBOLS = TOP + SUFFIX + 1
 END = SYMBOLS - 1
 DICTIONARY = 1 << 18
-TRAIN_PIECE, SCORE_PIECE = 1024, 1024
-LONG = 8192
+#: Symbols of a piece; a sequence of more than LONG is cut; pieces that are worked on side by side.
+PIECE, LONG, GROUP = 1024, 4096, 256
+SUMS = STATES + STATES**2 + SYMBOLS * STATES
 _LOG10 = np.log(10.0)
 
 
@@ -68,6 +71,14 @@ class Vocabulary:
     suffix_tokens: np.ndarray
     suffix_distinct: np.ndarray
 
+    def symbol_counts(self) -> np.ndarray:
+        """How often each symbol stands in the training texts."""
+        own = np.flatnonzero(self.symbols >= 0)
+        out = np.zeros(SYMBOLS)
+        out[self.symbols[own]] = self.counts[own]
+        out[END - SUFFIX : END], out[END] = self.suffix_tokens, self.texts
+        return out
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the dictionary, and whether it is there."""
         if not len(self.hashes):
@@ -76,7 +87,7 @@ class Vocabulary:
         return at, self.hashes[at] == h
 
 
-def count_words(train: DataFrame) -> DataFrame:
+def count_words(texts: DataFrame) -> DataFrame:
     """(word, suffix, n) over all texts; each task combines its counts before they move."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +122,7 @@ def count_words(train: DataFrame) -> DataFrame:
             for i in range(0, len(h), 100_000):
                 yield batch_of(h[i : i + 100_000], s[i : i + 100_000], n[i : i + 100_000])
 
-    rows = train.select("text").mapInArrow(count, "word long, suffix short, n long")
+    rows = texts.select("text").mapInArrow(count, "word long, suffix short, n long")
     return rows.groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
 
 
@@ -154,7 +165,7 @@ class Model:
     @classmethod
     def of(cls, sums: np.ndarray, symbol_share: np.ndarray) -> Model:
         """From expected counts of starts, moves and emissions, smoothed."""
-        start, move, emit = sums[:STATES] + 0.5, sums[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.5, sums[STATES + STATES**2 :].reshape(SYMBOLS, STATES)
+        start, move, emit = sums[:STATES] + 0.5, sums[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.5, sums[STATES + STATES**2 : SUMS].reshape(SYMBOLS, STATES)
         emit = emit + 20 * symbol_share[:, None]
         return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
@@ -187,14 +198,19 @@ def _forward(model: Model, emitted: np.ndarray, active: np.ndarray, offsets: np.
     return alpha, scale
 
 
-def expected_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Sums of starts, moves and emissions over the sequences flat[begin : begin + lens]."""
+def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Sums of starts, moves and emissions over flat[begin : begin + lens], and the log-likelihood.
+
+    ``before``: forward values of the symbol before (zeros: the sequence starts here); ``after``: backward values of the last symbol.
+    """
     order = np.argsort(-lens, kind="stable")
-    begin, lens = begin[order], lens[order]
+    begin, lens, before, after = begin[order], lens[order], before[order], after[order]
+    fresh = ~before.any(axis=1)
     active, offsets = _steps(lens)
     sym = _by_step(flat, begin, lens, offsets)
     emitted = model.emit[sym]
-    alpha, scale = _forward(model, emitted, active, offsets, np.tile(model.start, (len(lens), 1)))
+    alpha, scale = _forward(model, emitted, active, offsets, np.where(fresh[:, None], model.start, before @ model.move))
+    likelihood = np.log(scale).sum()
     move = np.zeros((STATES, STATES))
     gamma = alpha
     beta = np.ones((0, STATES))
@@ -202,16 +218,70 @@ def expected_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.
     for t in range(len(active) - 1, -1, -1):
         i, j = offsets[t], offsets[t + 1]
         n, more = active[t], len(beta)
-        b = np.ones((n, STATES))
+        b = np.empty((n, STATES))
         if more:
             ahead = emitted[offsets[t + 1] : offsets[t + 2]] * beta / scale[offsets[t + 1] : offsets[t + 2], None]
             move += alpha[i : i + more].T @ ahead
             b[:more] = ahead @ back
+        if n > more:  # these end here
+            b[more:] = after[more:n] / (alpha[i + more : j] * after[more:n]).sum(axis=1, keepdims=True)
         beta = b
         gamma[i:j] = alpha[i:j] * b
+    n = active[0]
+    move += before.T @ (emitted[:n] * beta / scale[:n, None])
     gamma = gamma / gamma.sum(axis=1, keepdims=True)
     emit = np.stack([np.bincount(sym, weights=gamma[:, k], minlength=SYMBOLS) for k in range(STATES)], axis=1)
-    return np.concatenate([gamma[: active[0]].sum(axis=0), (move * model.move).ravel(), emit.ravel()])
+    return np.concatenate([gamma[:n][fresh].sum(axis=0), (move * model.move).ravel(), emit.ravel(), [likelihood]])
+
+
+def _transfers(model: Model, sym: np.ndarray, at_start: bool, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pieces of ``sym``: weights from the state before a piece (of the first piece, if ``at_start``: at its first symbol) to the state at its end, and logs of their scale."""
+    begin, n = pieces_of(np.array([0]), np.array([len(sym)]), piece)
+    here = np.tile(np.eye(STATES), (len(begin), 1))
+    logs = np.zeros(len(here))
+    for t in range(int(n.max())):
+        live = np.flatnonzero(np.repeat(n, STATES) > t)
+        x = np.where((live < STATES)[:, None], here[live], here[live] @ model.move) if at_start and not t else here[live] @ model.move
+        x = x * model.emit[np.repeat(sym[begin[n > t] + t], STATES)]
+        s = x.sum(axis=1)
+        here[live], logs[live] = x / s[:, None], logs[live] + np.log(s)
+    return here.reshape(-1, STATES, STATES), logs.reshape(-1, STATES)
+
+
+def _chain(a: np.ndarray, factor: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Values after a piece, scaled, and the log of the scale."""
+    top = logs.max()
+    a = (a * np.exp(logs - top)) @ factor
+    s = a.sum()
+    return a / s, top + np.log(s)
+
+
+def _long_counts(model: Model, sym: np.ndarray, piece: int, group: int) -> np.ndarray:
+    """The sums of one long sequence: factors of all its pieces first, then the pieces, ``group`` at a time."""
+    span = piece * group
+    parts = [_transfers(model, sym[g : g + span], g == 0, piece) for g in range(0, len(sym), span)]
+    factor, logs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    count = len(factor)
+    before, after = np.zeros((count, STATES)), np.ones((count, STATES))
+    a = model.start
+    for p in range(count - 1):
+        a, _ = _chain(a, factor[p], logs[p])
+        before[p + 1] = a
+    for p in range(count - 1, 0, -1):
+        b = np.exp(logs[p] - logs[p].max()) * (factor[p] @ after[p])
+        after[p - 1] = b / b.sum()
+    begin, n = pieces_of(np.array([0]), np.array([len(sym)]), piece)
+    return sum(_piece_counts(model, sym, begin[i : i + group], n[i : i + group], before[i : i + group], after[i : i + group]) for i in range(0, count, group))
+
+
+def expected_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, long: int = LONG, piece: int = PIECE, group: int = GROUP) -> np.ndarray:
+    """Sums of starts, moves and emissions over the whole sequences flat[begin : begin + lens], and their log-likelihood."""
+    short = lens <= long
+    n = int(short.sum())
+    out = _piece_counts(model, flat, begin[short], lens[short], np.zeros((n, STATES)), np.ones((n, STATES))) if n else np.zeros(SUMS + 1)
+    for b, k in zip(begin[~short].tolist(), lens[~short].tolist(), strict=True):
+        out = out + _long_counts(model, flat[b : b + k], piece, group)
+    return out
 
 
 def pieces_of(begin: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,27 +312,14 @@ def log_likelihood(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.n
     return out
 
 
-def _long_likelihood(model: Model, sym: np.ndarray, group: int = 256) -> float:
-    """The same by pieces: for every state before a piece, the states after it, computed for ``group`` pieces at once."""
-    a, total = None, 0.0
-    for g in range(0, len(sym), SCORE_PIECE * group):
-        part = sym[g : g + SCORE_PIECE * group]
-        b, n = pieces_of(np.array([0]), np.array([len(part)]), SCORE_PIECE)
-        here = np.tile(np.eye(STATES), (len(b), 1))  # row k of piece p: the chain is in state k before it
-        logs = np.zeros(len(here))
-        for t in range(int(n.max())):
-            live = np.flatnonzero(np.repeat(n, STATES) > t)
-            x = here[live] @ model.move if (t or g) else np.where((live < STATES)[:, None], here[live], here[live] @ model.move)
-            x = x * model.emit[np.repeat(part[b[n > t] + t], STATES)]
-            s = x.sum(axis=1)
-            here[live], logs[live] = x / s[:, None], logs[live] + np.log(s)
-        for p in range(len(b)):
-            rows, lg = here[p * STATES : (p + 1) * STATES], logs[p * STATES : (p + 1) * STATES]
-            w = model.start if a is None else a
-            top = lg.max()
-            a = (w * np.exp(lg - top)) @ rows
-            s = a.sum()
-            a, total = a / s, total + top + np.log(s)
+def _long_likelihood(model: Model, sym: np.ndarray, piece: int = PIECE, group: int = GROUP) -> float:
+    """The same by pieces, from their factors."""
+    a, total = model.start, 0.0
+    for g in range(0, len(sym), piece * group):
+        factor, logs = _transfers(model, sym[g : g + piece * group], g == 0, piece)
+        for p in range(len(factor)):
+            a, scale = _chain(a, factor[p], logs[p])
+            total += scale
     return total
 
 
@@ -322,8 +379,8 @@ def _sequences(batch: pa.RecordBatch, column: int, limit: int = 1_000_000) -> It
         i = j
 
 
-def _add_up(rows: DataFrame, slots: int = 32) -> np.ndarray:
-    """Sum of the vectors in (slot, sums), added in rounds so that no task or driver holds many."""
+def _add_up(rows: DataFrame, slots: int) -> np.ndarray:
+    """Sum of the vectors in (slot, sums), added in rounds and in the order of their slots, so that no task or driver holds many."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -334,67 +391,58 @@ def _add_up(rows: DataFrame, slots: int = 32) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slot", "sums"])
 
     while slots > 1:
-        rows = rows.withColumn("slot", F.col("slot") % slots).repartition(slots, "slot").mapInArrow(add, "slot int, sums binary")
+        dealt = rows.withColumn("own", F.col("slot") % slots).repartition(slots, "own").sortWithinPartitions("own", "slot")
+        rows = dealt.select(F.col("own").alias("slot"), "sums").mapInArrow(add, "slot int, sums binary")
         slots = slots // 32 if slots > 32 else 1
-    out = None
-    for r in rows.toLocalIterator():
-        v = np.frombuffer(r["sums"])
-        out = v.copy() if out is None else out + v
-    return out if out is not None else np.zeros(STATES + STATES**2 + SYMBOLS * STATES)
+    out = np.zeros(SUMS + 1)
+    for _, raw in sorted((r["slot"], r["sums"]) for r in rows.toLocalIterator()):
+        out = out + np.frombuffer(raw)
+    return out
 
 
 def baum_welch_round(encoded: DataFrame, model: Model, slots: int) -> np.ndarray:
+    """The sums of all partitions, and the log-likelihood under ``model``."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, total = shared.value, None
+        m, total = shared.value, np.zeros(SUMS + 1)
         for batch in batches:
             for _, _, flat, begin, lens in _sequences(batch, 0):
-                got = expected_counts(m, flat, *pieces_of(begin, lens, TRAIN_PIECE))
-                total = got if total is None else total + got
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "sums"])
+                total += expected_counts(m, flat, begin, lens)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "sums"])
 
-    return _add_up(encoded.select("symbols").mapInArrow(count, "slot int, sums binary"), slots)
+    out = _add_up(encoded.select("symbols").mapInArrow(count, "slot int, sums binary"), slots)
+    shared.unpersist()
+    return out
 
 
-def score_texts(
-    docs: DataFrame, held_out: Column, rounds: int = 2, warm_rounds: int = 25, sample_rows: int = 4000, sample_tokens: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def train(encoded: DataFrame, vocab: Vocabulary, rounds: int, settle: float) -> Model:
+    """Baum-Welch over all sequences of ``encoded``."""
+    seen = vocab.symbol_counts()
+    model = Model.first(seen)
+    if not vocab.texts:
+        return model
+    share = (seen + 0.1) / (seen + 0.1).sum()
+    slots = 1024 if scratch.partitions(encoded.sparkSession) > 1024 else 32
+    before = -np.inf
+    for _ in range(rounds):
+        sums = baum_welch_round(encoded, model, slots)
+        model = Model.of(sums, share)
+        if sums[-1] - before < settle * vocab.tokens:
+            break
+        before = sums[-1]
+    return model
+
+
+def score_texts(docs: DataFrame, held_out: Column, rounds: int = 12, settle: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row scored: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). ``held_out``: rows not learned from."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    train = own.where("NOT held_out")
-    counts = scratch.materialise(count_words(train), "words")
-    vocab = vocabulary(counts, train.count())
+    learned = own.where("NOT held_out")
+    counts = scratch.materialise(count_words(learned), "words")
+    vocab = vocabulary(counts, learned.count())
     table = scratch.materialise(encode(own, vocab), "encoded")
-    learn = table.where("NOT held_out")
-
-    sample = training.hash_sample(learn.where(F.length("symbols") <= 2 * sample_tokens // 16).select("uid", "symbols"), "uid", sample_rows, 5).select("symbols").collect()
-    texts, held = [], 0
-    for r in sample:
-        if held > sample_tokens:
-            break
-        texts.append(np.frombuffer(r["symbols"], np.int16))
-        held += len(texts[-1])
-    share = np.full(SYMBOLS, 1 / SYMBOLS)
-    model = Model.first(np.zeros(SYMBOLS))
-    if texts:
-        flat = np.concatenate(texts)
-        seen = np.bincount(flat, minlength=SYMBOLS).astype(float)
-        share = (seen + 0.1) / (seen + 0.1).sum()
-        lens = np.array([len(x) for x in texts])
-        begin, size = pieces_of(np.cumsum(lens) - lens, lens, TRAIN_PIECE)
-        model = Model.first(seen)
-        half = 256
-        for _ in range(warm_rounds):
-            model = Model.of(sum(expected_counts(model, flat, begin[i : i + half], size[i : i + half]) for i in range(0, len(begin), half)), share)
-        slots = 1024 if scratch.partitions(spark) > 1024 else 32
-        for _ in range(rounds):
-            sums = baum_welch_round(learn, model, slots)
-            emitted = sums[STATES + STATES**2 :].reshape(SYMBOLS, STATES).sum(axis=1)
-            share = (emitted + 0.1) / (emitted + 0.1).sum()
-            model = Model.of(sums, share)
+    model = train(table.where("NOT held_out"), vocab, rounds, settle)
     final = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

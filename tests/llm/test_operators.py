@@ -585,7 +585,7 @@ def test_decontaminate_unspaced_scripts(spark):
 
 def test_hmm_base_and_counts(spark, docs, empty):
     held = training.fold(F.col("doc_id"), 5) == 1
-    rows = hmm.score_texts(docs, held, rounds=1, warm_rounds=2).collect()
+    rows = hmm.score_texts(docs, held, rounds=2).collect()
     tokens = {r[0]: [*split(r[1]), None] for r in corpus()}
     c = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
     n, v = sum(c.values()), len(c)
@@ -600,10 +600,10 @@ def test_hmm_base_and_counts(spark, docs, empty):
 
 def test_hmm_rare_words_are_joined(spark, docs, monkeypatch):
     held = training.fold(F.col("doc_id"), 5) == 1
-    want = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in hmm.score_texts(docs, held, rounds=1, warm_rounds=1).collect()}
+    want = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in hmm.score_texts(docs, held, rounds=1).collect()}
     monkeypatch.setattr(hmm, "DICTIONARY", 20)
     monkeypatch.setattr(hmm, "TOP", 10)
-    got = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in hmm.score_texts(docs, held, rounds=1, warm_rounds=1).collect()}
+    got = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in hmm.score_texts(docs, held, rounds=1).collect()}
     assert got == want
 
 
@@ -623,12 +623,14 @@ def test_hmm_likelihood_and_learning():
     want = [brute_forward(m, flat[b : b + n].tolist()) for b, n in zip(begin, lens, strict=True)]
     assert np.allclose(hmm.log_likelihood(m, flat, begin, lens), want)
     long = rng.integers(0, hmm.SYMBOLS, 9000).astype(np.int16)
-    assert math.isclose(hmm._long_likelihood(m, long, 2), hmm._long_likelihood(m, long, 64), rel_tol=1e-12)
+    for piece, group in ((1024, 2), (1024, 64), (70, 5)):
+        assert math.isclose(hmm._long_likelihood(m, long, piece, group), brute_forward_scaled(m, long), rel_tol=1e-12)
     sums = hmm.expected_counts(m, flat, begin, lens)
-    assert math.isclose(sums[: hmm.STATES].sum(), len(lens)) and math.isclose(sums[hmm.STATES + hmm.STATES**2 :].sum(), lens.sum())
+    assert math.isclose(sums[: hmm.STATES].sum(), len(lens)) and math.isclose(sums[hmm.STATES + hmm.STATES**2 : -1].sum(), lens.sum())
     assert math.isclose(sums[hmm.STATES : hmm.STATES + hmm.STATES**2].sum(), lens.sum() - len(lens))
     share = np.full(hmm.SYMBOLS, 1e-9)
     before = hmm.log_likelihood(m, flat, begin, lens).sum()
+    assert math.isclose(sums[-1], before)
     for _ in range(3):
         m = hmm.Model.of(hmm.expected_counts(m, flat, begin, lens), share)
         after = hmm.log_likelihood(m, flat, begin, lens).sum()
@@ -636,6 +638,78 @@ def test_hmm_likelihood_and_learning():
         before = after
 
 
+def brute_forward_scaled(m: hmm.Model, x: np.ndarray) -> float:
+    a, total = m.start * m.emit[x[0]], 0.0
+    for s in x[1:].tolist():
+        total += math.log(a.sum())
+        a = (a / a.sum() @ m.move) * m.emit[s]
+    return total + math.log(a.sum())
+
+
+def brute_counts(m: hmm.Model, x: list[int]) -> np.ndarray:
+    """Forward-backward over one sequence, a symbol at a time."""
+    alpha, beta = [m.start * m.emit[x[0]]], [np.ones(hmm.STATES)]
+    for s in x[1:]:
+        a = alpha[-1] / alpha[-1].sum()
+        alpha.append((a @ m.move) * m.emit[s])
+    for s in reversed(x[1:]):
+        b = m.move @ (m.emit[s] * beta[-1])
+        beta.append(b / b.sum())
+    beta.reverse()
+    start, move, emit = np.zeros(hmm.STATES), np.zeros((hmm.STATES,) * 2), np.zeros((hmm.SYMBOLS, hmm.STATES))
+    for t, s in enumerate(x):
+        g = alpha[t] * beta[t]
+        emit[s] += g / g.sum()
+        if t:
+            xi = alpha[t - 1][:, None] * m.move * (m.emit[s] * beta[t])[None]
+            move += xi / xi.sum()
+    start += alpha[0] * beta[0] / (alpha[0] * beta[0]).sum()
+    return np.concatenate([start, move.ravel(), emit.ravel()])
+
+
+def test_pieces_do_not_change_the_counts():
+    """Long sequences in pieces against one symbol at a time."""
+    rng = np.random.default_rng(5)
+    m = hmm.Model.first(rng.random(hmm.SYMBOLS) * 50)
+    m.move = rng.dirichlet(np.ones(hmm.STATES), hmm.STATES)
+    lens = np.array([3, 40, 1, 151, 97, 64])
+    flat = rng.integers(0, hmm.SYMBOLS, lens.sum()).astype(np.int16)
+    begin = np.cumsum(lens) - lens
+    want = sum(brute_counts(m, flat[b : b + n].tolist()) for b, n in zip(begin, lens, strict=True))
+    for long, piece, group in ((4096, 1024, 256), (50, 16, 3), (10, 7, 1), (0, 32, 64)):
+        got = hmm.expected_counts(m, flat, begin, lens, long, piece, group)
+        assert np.allclose(got[:-1], want, atol=1e-10), (long, piece)
+        assert math.isclose(got[-1], sum(brute_forward_scaled(m, flat[b : b + n]) for b, n in zip(begin, lens, strict=True)))
+
+
+def test_hmm_scores_by_brute_force(spark):
+    """Vocabulary, rounds and scores from the words themselves; and the same scores however the rows are partitioned."""
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in "xyzuv" for b in ("ing", "ed", "s", "ly")]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(60, None), (61, "unseen zebra"), (1, "xing"), (62, "Xing " * 5000)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_tokens long, symbols string")
+    held = training.fold(F.col("doc_id"), 5) == 1
+    out = [sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in hmm.score_texts(docs.repartition(k), held, rounds=3, settle=0).collect()) for k in (1, 5)]
+    assert all(a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-9) for a, b in zip(*out, strict=True))
+    use = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    count = Counter(w for _, t in use for w in split(t))
+    number = lambda w: int(kernel.signed(kernel.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0])[0])
+    rank = {w: k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], number(w))))}
+    suffix = lambda w: int(hmm.tokens_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[1][0])
+    symbols = lambda t: [rank[w] if w in rank else hmm.TOP + suffix(w) for w in split(t)] + [hmm.END]
+    seen = np.zeros(hmm.SYMBOLS)
+    for w, n in count.items():
+        seen[rank[w]] = n
+    seen[hmm.END] = len(use)
+    m, share = hmm.Model.first(seen), (seen + 0.1) / (seen + 0.1).sum()
+    for _ in range(3):
+        m = hmm.Model.of(np.append(sum(brute_counts(m, symbols(t)) for _, t in use), 0.0), share)
+    for (i, n, score), (j, t) in zip(out[0], sorted(rows, key=lambda r: (r[0], len(split(r[1])) + 1)), strict=False):
+        assert i == j and n == len(split(t)) + 1
+        inner = sum(math.log10(0.5 / 0.5) for w in split(t) if w not in rank)  # alone in its suffix's symbol, which no training word has
+        assert math.isclose(score, brute_forward_scaled(m, np.array(symbols(t))) / math.log(10) + inner, rel_tol=1e-9), i
+
+
 # --- kernels and scratch ---------------------------------------------------------------
 
 
