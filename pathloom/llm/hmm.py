@@ -44,8 +44,8 @@ TOP, SUFFIX = 4096, 1024
 SYMBOLS = TOP + SUFFIX + 1
 END = SYMBOLS - 1
 DICTIONARY = 1 << 18
-#: Symbols of a piece; a sequence of more than LONG is cut; pieces that are worked on side by side.
-PIECE, LONG, GROUP = 1024, 4096, 256
+#: Symbols of a piece; a sequence of more than LONG is cut; symbols that are worked on at once; steps between scalings.
+PIECE, LONG, AT_ONCE, SCALE = 1024, 4096, 500_000, 16
 SUMS = STATES + STATES**2 + SYMBOLS * STATES
 _LOG10 = np.log(10.0)
 
@@ -185,67 +185,78 @@ def _by_step(flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, offsets: np.
     return out
 
 
-def _forward(model: Model, emitted: np.ndarray, active: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward values of every step, and the scales."""
-    alpha, scale = np.empty_like(emitted), np.empty(len(emitted))
-    a = first
-    for t, n in enumerate(active.tolist()):
-        i, j = offsets[t], offsets[t + 1]
-        a = (a[:n] @ model.move if t else a[:n]) * emitted[i:j]
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        alpha[i:j], scale[i:j] = a, s
-    return alpha, scale
-
-
 def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Sums of starts, moves and emissions over flat[begin : begin + lens], and the log-likelihood.
 
     ``before``: forward values of the symbol before (zeros: the sequence starts here); ``after``: backward values of the last symbol.
+    Values are scaled every SCALE steps; expected counts are normalised by place, so the scale does not matter to them.
     """
     order = np.argsort(-lens, kind="stable")
     begin, lens, before, after = begin[order], lens[order], before[order], after[order]
     fresh = ~before.any(axis=1)
     active, offsets = _steps(lens)
+    steps, bounds, ones = active.tolist(), offsets.tolist(), np.ones(STATES)
     sym = _by_step(flat, begin, lens, offsets)
     emitted = model.emit[sym]
-    alpha, scale = _forward(model, emitted, active, offsets, np.where(fresh[:, None], model.start, before @ model.move))
-    likelihood = np.log(scale).sum()
-    move = np.zeros((STATES, STATES))
-    gamma = alpha
-    beta = np.ones((0, STATES))
+    alpha, beta = np.empty_like(emitted), np.empty_like(emitted)
+    total = np.zeros(len(lens))
+    a = np.where(fresh[:, None], model.start, before @ model.move) * emitted[: steps[0]]
+    for t, n in enumerate(steps):
+        if t:
+            a = (a[:n] @ model.move) * emitted[bounds[t] : bounds[t + 1]]
+        if t % SCALE == SCALE - 1:
+            scale = a @ ones
+            a /= scale[:, None]
+            total[:n] += np.log(scale)
+        alpha[bounds[t] : bounds[t + 1]] = a
+    last = offsets[lens - 1] + np.arange(len(lens))
+    total += np.log(alpha[last] @ ones)
     back = model.move.T.copy()
-    for t in range(len(active) - 1, -1, -1):
-        i, j = offsets[t], offsets[t + 1]
-        n, more = active[t], len(beta)
-        b = np.empty((n, STATES))
+    b = after[:0]
+    for t in range(len(steps) - 1, -1, -1):
+        n, more = steps[t], len(b)
+        own = beta[bounds[t] : bounds[t + 1]]
         if more:
-            ahead = emitted[offsets[t + 1] : offsets[t + 2]] * beta / scale[offsets[t + 1] : offsets[t + 2], None]
-            move += alpha[i : i + more].T @ ahead
-            b[:more] = ahead @ back
-        if n > more:  # these end here
-            b[more:] = after[more:n] / (alpha[i + more : j] * after[more:n]).sum(axis=1, keepdims=True)
-        beta = b
-        gamma[i:j] = alpha[i:j] * b
-    n = active[0]
-    move += before.T @ (emitted[:n] * beta / scale[:n, None])
-    gamma = gamma / gamma.sum(axis=1, keepdims=True)
+            own[:more] = (emitted[bounds[t + 1] : bounds[t + 2]] * b) @ back
+        own[more:] = after[more:n]
+        if t % SCALE == 0:
+            own /= (own @ ones)[:, None]
+        b = own
+    n = steps[0]
+    ahead = emitted * beta
+    earlier = np.arange(n, len(sym)) - np.repeat(active[:-1], active[1:])  # the place before, of all but the first
+    earlier = alpha[earlier]
+    weight = ((earlier @ model.move) * ahead[n:]) @ ones
+    move = earlier.T @ (ahead[n:] / weight[:, None])
+    if not fresh.all():
+        crossed = ((before @ model.move) * ahead[:n]) @ ones
+        move += before[~fresh].T @ (ahead[:n][~fresh] / crossed[~fresh, None])
+    gamma = alpha * beta
+    gamma /= (gamma @ ones)[:, None]
     emit = np.stack([np.bincount(sym, weights=gamma[:, k], minlength=SYMBOLS) for k in range(STATES)], axis=1)
-    return np.concatenate([gamma[:n][fresh].sum(axis=0), (move * model.move).ravel(), emit.ravel(), [likelihood]])
+    return np.concatenate([gamma[:n][fresh].sum(axis=0), (move * model.move).ravel(), emit.ravel(), [total.sum()]])
 
 
-def _transfers(model: Model, sym: np.ndarray, at_start: bool, piece: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pieces of ``sym``: weights from the state before a piece (of the first piece, if ``at_start``: at its first symbol) to the state at its end, and logs of their scale."""
-    begin, n = pieces_of(np.array([0]), np.array([len(sym)]), piece)
-    here = np.tile(np.eye(STATES), (len(begin), 1))
-    logs = np.zeros(len(here))
-    for t in range(int(n.max())):
-        live = np.flatnonzero(np.repeat(n, STATES) > t)
-        x = np.where((live < STATES)[:, None], here[live], here[live] @ model.move) if at_start and not t else here[live] @ model.move
-        x = x * model.emit[np.repeat(sym[begin[n > t] + t], STATES)]
-        s = x.sum(axis=1)
-        here[live], logs[live] = x / s[:, None], logs[live] + np.log(s)
-    return here.reshape(-1, STATES, STATES), logs.reshape(-1, STATES)
+def _transfers(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces: weights from the state before a piece (where it ``starts`` a sequence: at its first symbol) to the state at its end, and logs of their scale."""
+    order = np.argsort(-lens, kind="stable")
+    begin, lens, first = begin[order], lens[order], starts[order]
+    here = np.tile(np.eye(STATES), (len(lens), 1, 1))
+    logs = np.zeros((len(lens), STATES))
+    active = _steps(lens)[0].tolist()
+    for t, n in enumerate(active):
+        x = (here[:n].reshape(-1, STATES) @ model.move).reshape(n, STATES, STATES)
+        if not t:
+            x[first] = here[:n][first]
+        x *= model.emit[flat[begin[:n] + t]][:, None, :]
+        if t % SCALE == SCALE - 1 or t + 1 == len(active) or active[t + 1] < n:
+            s = x.sum(axis=2)
+            x /= s[:, :, None]
+            logs[:n] += np.log(s)
+        here[:n] = x
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return here[back], logs[back]
 
 
 def _chain(a: np.ndarray, factor: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, float]:
@@ -256,39 +267,42 @@ def _chain(a: np.ndarray, factor: np.ndarray, logs: np.ndarray) -> tuple[np.ndar
     return a / s, top + np.log(s)
 
 
-def _long_counts(model: Model, sym: np.ndarray, piece: int, group: int) -> np.ndarray:
-    """The sums of one long sequence: factors of all its pieces first, then the pieces, ``group`` at a time."""
-    span = piece * group
-    parts = [_transfers(model, sym[g : g + span], g == 0, piece) for g in range(0, len(sym), span)]
-    factor, logs = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    count = len(factor)
-    before, after = np.zeros((count, STATES)), np.ones((count, STATES))
-    a = model.start
-    for p in range(count - 1):
-        a, _ = _chain(a, factor[p], logs[p])
-        before[p + 1] = a
-    for p in range(count - 1, 0, -1):
-        b = np.exp(logs[p] - logs[p].max()) * (factor[p] @ after[p])
-        after[p - 1] = b / b.sum()
-    begin, n = pieces_of(np.array([0]), np.array([len(sym)]), piece)
-    return sum(_piece_counts(model, sym, begin[i : i + group], n[i : i + group], before[i : i + group], after[i : i + group]) for i in range(0, count, group))
-
-
-def expected_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, long: int = LONG, piece: int = PIECE, group: int = GROUP) -> np.ndarray:
+def expected_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, long: int = LONG, piece: int = PIECE, at_once: int = AT_ONCE) -> np.ndarray:
     """Sums of starts, moves and emissions over the whole sequences flat[begin : begin + lens], and their log-likelihood."""
-    short = lens <= long
-    n = int(short.sum())
-    out = _piece_counts(model, flat, begin[short], lens[short], np.zeros((n, STATES)), np.ones((n, STATES))) if n else np.zeros(SUMS + 1)
-    for b, k in zip(begin[~short].tolist(), lens[~short].tolist(), strict=True):
-        out = out + _long_counts(model, flat[b : b + k], piece, group)
+    size = np.where(lens > long, piece, np.maximum(1, lens))
+    count = -(-lens // size)
+    begin, lens = pieces_of(begin, lens, size)
+    first = np.cumsum(count) - count
+    before, after = np.zeros((len(lens), STATES)), np.ones((len(lens), STATES))
+    cut = np.flatnonzero(np.repeat(count, count) > 1)
+    if len(cut):
+        starts = np.zeros(len(lens), bool)
+        starts[first] = True
+        factor, logs = _transfers(model, flat, begin[cut], lens[cut], starts[cut])
+        at = np.full(len(lens), -1)
+        at[cut] = np.arange(len(cut))
+        for f, n in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
+            a, k = model.start, at[f]
+            for p in range(n - 1):
+                a, _ = _chain(a, factor[k + p], logs[k + p])
+                before[f + p + 1] = a
+            for p in range(n - 1, 0, -1):
+                b = np.exp(logs[k + p] - logs[k + p].max()) * (factor[k + p] @ after[f + p])
+                after[f + p - 1] = b / b.sum()
+    out, i, ends = np.zeros(SUMS + 1), 0, np.cumsum(lens)
+    while i < len(lens):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
+        out += _piece_counts(model, flat, begin[i:j], lens[i:j], before[i:j], after[i:j])
+        i = j
     return out
 
 
-def pieces_of(begin: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def pieces_of(begin: np.ndarray, lens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of the pieces of sequences, each cut by its ``size``."""
     n = -(-lens // size)
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    b = np.repeat(begin, n) + inner * size
-    return b, np.minimum(size, np.repeat(begin + lens, n) - b)
+    b = np.repeat(begin, n) + inner * np.repeat(size, n)
+    return b, np.minimum(np.repeat(size, n), np.repeat(begin + lens, n) - b)
 
 
 def log_likelihood(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -312,14 +326,14 @@ def log_likelihood(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.n
     return out
 
 
-def _long_likelihood(model: Model, sym: np.ndarray, piece: int = PIECE, group: int = GROUP) -> float:
+def _long_likelihood(model: Model, sym: np.ndarray, piece: int = PIECE) -> float:
     """The same by pieces, from their factors."""
+    begin, lens = pieces_of(np.array([0]), np.array([len(sym)]), np.array([piece]))
+    factor, logs = _transfers(model, sym, begin, lens, np.arange(len(lens)) == 0)
     a, total = model.start, 0.0
-    for g in range(0, len(sym), piece * group):
-        factor, logs = _transfers(model, sym[g : g + piece * group], g == 0, piece)
-        for p in range(len(factor)):
-            a, scale = _chain(a, factor[p], logs[p])
-            total += scale
+    for f, lg in zip(factor, logs, strict=True):
+        a, scale = _chain(a, f, lg)
+        total += scale
     return total
 
 
@@ -434,7 +448,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int, settle: float) ->
     return model
 
 
-def score_texts(docs: DataFrame, held_out: Column, rounds: int = 12, settle: float = 0.002, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, rounds: int = 10, settle: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row scored: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). ``held_out``: rows not learned from."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
