@@ -1,11 +1,12 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover the whole of it.
-A byte's input is its learned embedding and one channel that tells whether the
-eight bytes there stand a few bytes earlier as well (a period of up to ``LAGS``).
-Learned filters run over each chunk's input and are max-pooled; mean and maximum of the chunks' pooled values are combined into one
-probability. Training (Adam, on the driver) uses a bounded sample of labelled
-rows: ``max_rows`` and ``max_bytes``. Scoring reads all bytes of all texts.
+A byte's input is its learned embedding. Learned filters run over each chunk's
+input and are max-pooled; a learned layer of UNITS values follows per chunk, and
+the mean and the maximum of the chunks' values are combined into one probability. Training (Adam, on the driver) uses a bounded
+sample of labelled rows: about ``max_rows`` by hash, of which those in hash order
+whose texts sum up to ``max_bytes``; the bound is kept before rows are collected.
+Scoring reads all bytes of all texts.
 
 Defined results: null text counts as empty; an empty text is one chunk of zero
 bytes and gets a score; equal texts have equal scores; a null identifier is
@@ -25,11 +26,9 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import kernel, training
 
-CHUNK, STEP = 256, 192
+CHUNK, STEP = 128, 96
 WIDTH, HOP = 8, 2
-EMBED, FILTERS = 8, 16
-INPUT = EMBED + 1
-LAGS = 24
+EMBED, FILTERS, UNITS = 8, 24, 16
 _POSITIONS = (CHUNK - WIDTH) // HOP + 1
 
 
@@ -49,51 +48,41 @@ def chunk_matrix(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     return np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
 
 
-def repeats(chunks: np.ndarray) -> np.ndarray:
-    """1 where a byte and the seven after it stand 1 to LAGS bytes earlier in the chunk, too."""
-    out = np.zeros(chunks.shape, bool)
-    words = np.lib.stride_tricks.as_strided(np.ascontiguousarray(chunks).view(np.uint8), (len(chunks), CHUNK - 7, 8), (CHUNK, 1, 1)).copy().view(np.uint64)[..., 0]
-    for lag in range(1, LAGS + 1):
-        out[:, lag : CHUNK - 7] |= words[:, lag:] == words[:, :-lag]
-    return out & (chunks > 0)
-
-
 class ByteConvNet:
     def __init__(self, seed: int = 13):
         rng = np.random.default_rng(seed)
         self.p = {
             "embed": rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
-            "filters": rng.normal(0, (2 / (WIDTH * INPUT)) ** 0.5, (WIDTH * INPUT, FILTERS)).astype(np.float32),
+            "filters": rng.normal(0, (2 / (WIDTH * EMBED)) ** 0.5, (WIDTH * EMBED, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "out": rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32),
+            "dense": rng.normal(0, (2 / FILTERS) ** 0.5, (FILTERS, UNITS)).astype(np.float32),
+            "lift": np.zeros(UNITS, np.float32),
+            "out": rng.normal(0, 0.1, 2 * UNITS).astype(np.float32),
             "offset": np.zeros(1, np.float32),
         }
 
     def pooled(self, chunks: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Max-pooled, rectified filter values of each chunk (and the pooled positions)."""
-        tables = np.concatenate([self.p["embed"], self.p["embed"]])  # of bytes, and of bytes that repeat
-        filters = self.p["filters"].reshape(WIDTH, INPUT, FILTERS)
-        place = chunks + repeats(chunks) * np.intp(256)
+        filters = self.p["filters"].reshape(WIDTH, EMBED, FILTERS)
         conv = np.zeros((len(chunks), _POSITIONS, FILTERS), np.float32)
-        for j in range(WIDTH):
-            table = tables @ filters[j, :EMBED]
-            table[256:] += filters[j, EMBED]
-            conv += np.take(table, place[:, j : j + HOP * _POSITIONS - HOP + 1 : HOP], axis=0)
+        for j in range(WIDTH):  # a filter's value for a byte at j is looked up
+            conv += np.take(self.p["embed"] @ filters[j], chunks[:, j : j + HOP * _POSITIONS - HOP + 1 : HOP], axis=0)
         top = np.maximum(conv.max(axis=1) + self.p["bias"], 0)
         return top, conv.argmax(axis=1) if where else None
 
-    def combine(self, top: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Features of texts of ``n`` chunks each, and their logits."""
+    def combine(self, top: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units of each chunk, features of texts of ``n`` chunks each, and their logits."""
         first = np.cumsum(n) - n
-        feats = np.hstack([np.add.reduceat(top, first, axis=0) / n[:, None], np.maximum.reduceat(top, first, axis=0)])
-        return feats, feats @ self.p["out"] + self.p["offset"][0]
+        units = np.maximum(top @ self.p["dense"] + self.p["lift"], 0)
+        feats = np.hstack([np.add.reduceat(units, first, axis=0) / n[:, None], np.maximum.reduceat(units, first, axis=0)])
+        return units, feats, feats @ self.p["out"] + self.p["offset"][0]
 
     def scores(self, data: np.ndarray, offsets: np.ndarray, block: int = 256) -> np.ndarray:
         sizes = offsets[1:] - offsets[:-1]
         n, starts = chunk_starts(sizes)
         begin, end = starts + np.repeat(offsets[:-1], n), np.repeat(offsets[1:], n)
         top = np.concatenate([self.pooled(chunk_matrix(data, begin[i : i + block], end[i : i + block]))[0] for i in range(0, len(begin), block)])
-        return 1 / (1 + np.exp(-np.clip(self.combine(top, n)[1].astype(np.float64), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.combine(top, n)[2].astype(np.float64), -30, 30)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, min_steps: int = 200, batch: int = 64, rate: float = 0.004, seed: int = 17) -> ByteConvNet:
         rng = np.random.default_rng(seed)
@@ -110,23 +99,23 @@ class ByteConvNet:
                 n, starts = chunk_starts(offsets[1:] - offsets[:-1])
                 chunks = chunk_matrix(data, starts + np.repeat(offsets[:-1], n), np.repeat(offsets[1:], n))
                 parts = [self.pooled(chunks[a : a + 256], True) for a in range(0, len(chunks), 256)]
-                again = np.concatenate([repeats(chunks[a : a + 512]) for a in range(0, len(chunks), 512)])
                 top, where = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                feats, logit = self.combine(top, n)
+                units, feats, logit = self.combine(top, n)
                 err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[own]).astype(np.float32) / len(own)
                 g_feats = err[:, None] * self.p["out"]
                 row = np.repeat(np.arange(len(own)), n)
-                is_max = (top == feats[row, FILTERS:]) & (top > 0)
-                g_top = (g_feats[row, :FILTERS] / n[row, None] + g_feats[row, FILTERS:] * is_max) * (top > 0)
+                is_max = units == feats[row, UNITS:]
+                g_units = (g_feats[row, :UNITS] / n[row, None] + g_feats[row, UNITS:] * is_max) * (units > 0)
+                g_top = (g_units @ self.p["dense"].T) * (top > 0)
                 c, f = np.nonzero(g_top)
                 g = g_top[c, f]
                 spot = where[c, f][:, None] * HOP + np.arange(WIDTH)
                 taps = chunks[c[:, None], spot]
-                seen = np.concatenate([self.p["embed"][taps], again[c[:, None], spot][..., None]], axis=2)
-                grads = {"out": feats.T @ err, "offset": err.sum(keepdims=True), "bias": g_top.sum(axis=0)}
-                flat = seen.reshape(len(c), -1).astype(np.float32)
+                seen = self.p["embed"][taps]
+                grads = {"out": feats.T @ err, "offset": err.sum(keepdims=True), "bias": g_top.sum(axis=0), "dense": top.T @ g_units, "lift": g_units.sum(axis=0)}
+                flat = seen.reshape(len(c), -1)
                 grads["filters"] = np.stack([g[f == k] @ flat[f == k] for k in range(FILTERS)], axis=1)
-                back = (g[:, None] * self.p["filters"].T[f]).reshape(-1, INPUT)
+                back = (g[:, None] * self.p["filters"].T[f]).reshape(-1, EMBED)
                 grads["embed"] = np.stack([np.bincount(taps.ravel(), weights=back[:, k], minlength=256) for k in range(EMBED)], axis=1).astype(np.float32)
                 step += 1
                 for k, v in self.p.items():
@@ -139,12 +128,12 @@ class ByteConvNet:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, max_rows: int = 3000, max_bytes: int = 6 << 20, label_col: str = "quality") -> ByteConvNet | float:
     """The network, or a constant score where labels are of one kind or missing."""
-    rows = [(r["doc_id"], r["text"].encode(), r["label"]) for r in training.labelled_sample(docs, labels, label_col, use, max_rows, max_bytes).collect()]
-    rows = training.within_bytes(rows, max_bytes)
-    y = np.array([r[2] for r in rows], np.float32)
+    by_id = {r["doc_id"]: (r["text"].encode(), r["label"]) for r in training.labelled_sample(docs, labels, label_col, use, max_rows, max_bytes).collect()}
+    rows = [by_id[i] for i in training.in_hash_order(list(by_id))]
+    y = np.array([r[1] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
-    return ByteConvNet().fit([r[1] for r in rows], y)
+    return ByteConvNet().fit([r[0] for r in rows], y)
 
 
 def score_quality(docs: DataFrame, model: ByteConvNet | float, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
