@@ -471,13 +471,133 @@ def test_chunks_cover_whole_texts():
         at += k
 
 
+def test_quality_scores_by_brute_force():
+    """One byte, one filter, one chunk at a time."""
+    net = quality.ByteConvNet(3)
+    net.p["bias"] += 0.1
+    texts = [b"", b"a", bytes(range(1, 200)) * 4, words(90, 3).encode(), b"x" * 127, b"yz" * 64]
+    want = []
+    for t in texts:
+        starts = [0]
+        while starts[-1] + quality.CHUNK < len(t):
+            starts.append(starts[-1] + quality.STEP)
+        units = []
+        for s in starts:
+            chunk = t[s : s + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            pooled = []
+            for f in range(quality.FILTERS):
+                values = []
+                for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.HOP):
+                    seen = np.concatenate([net.p["embed"][chunk[at + j]] for j in range(quality.WIDTH)])
+                    values.append(float(seen @ net.p["filters"][:, f]))
+                pooled.append(max(0.0, max(values) + float(net.p["bias"][f])))
+            units.append(np.maximum(np.array(pooled) @ net.p["dense"] + net.p["lift"], 0))
+        units = np.array(units)
+        logit = np.concatenate([units.mean(axis=0), units.max(axis=0)]) @ net.p["out"] + net.p["offset"][0]
+        want.append(1 / (1 + math.exp(-logit)))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    assert np.allclose(net.scores(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), 3), want, atol=1e-5)
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(500)] + [(3, "other"), (7, "y" * 900), (None, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
+    got = training.labelled_sample(docs, labels, "toxic", F.lit(True), 1000, 4000).collect()
+    assert 3500 < sum(len(r["text"]) for r in got) <= 4000 and len({r["doc_id"] for r in got}) == len(got) and None not in {r["doc_id"] for r in got}
+    again = training.labelled_sample(docs.repartition(5), labels, "toxic", F.lit(True), 1000, 4000).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def machines() -> list:
+    return [toxicity.insults(), *(f(toxicity.PRIOR) for f in (toxicity.threats, toxicity.targets, toxicity.negations, toxicity.reports))]
+
+
+def brute_grammar(tape: list[str]) -> list[tuple[str, float]]:
+    """The five transducers one after another over symbols with weights."""
+    now = [(c, 1.0) for c in tape]
+    for m in machines():
+        out = m.run([c for c, _ in now])
+        now = [(c, w * v) for (c, w), (_, v) in zip(out, now, strict=True) if c]
+    return now
+
+
+def test_composition_is_the_transducers_in_a_row():
+    rng = random.Random(2)
+    composed = toxicity.grammar(toxicity.PRIOR)
+    automaton = toxicity.Automaton(toxicity.PRIOR)
+    for _ in range(300):
+        tape = [rng.choice("oooihtnq") for _ in range(rng.randint(0, 9))] + ["|"]
+        want = brute_grammar(tape)
+        got = [(c, w) for c, w in composed.run(tape) if c]
+        assert [c for c, _ in got] == [c for c, _ in want]
+        assert np.allclose([w for _, w in got], [w for _, w in want])
+        assert all(math.isclose(w, math.prod(v for k, v in toxicity.PRIOR.items() if toxicity._FACTORS[k] in c)) for c, w in got)
+        found, score = automaton.run(np.array([toxicity.SYMBOLS.index(c) for c in tape]), np.ones(len(tape)), np.array([len(tape)]))
+        assert math.isclose(score[0], sum(w for _, w in want), abs_tol=1e-12) and found.sum() == len(want)
+    reads_nothing = toxicity.Transducer(0, {(0, ""): ("x", 2.0, 1), (1, "o"): ("y", 3.0, 1)})
+    writes_nothing = toxicity.Transducer(0, {(0, "a"): ("", 5.0, 1), (1, "a"): ("o", 7.0, 0)})
+    both = toxicity.compose(writes_nothing, reads_nothing)
+    assert both.arcs[(0, 0), "a"] == ("", 5.0, (1, 0)) and both.arcs[(1, 0), ""] == ("x", 2.0, (1, 1)) and both.arcs[(1, 1), "a"] == ("y", 21.0, (0, 1))
+
+
 def test_grammar():
-    i, t, y, n, r, o = toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.OTHER
-    score = lambda *c: toxicity.walk_clause(list(c), [1.0 if x in (i, t) else 0.0 for x in c])[0]
-    assert score(y, i) > score(o, i) > score(r, i) > 0
-    assert score(n, i) < score(o, i) == score(n, o, o, o, i)
-    assert score(y, t) > score(o, t)
-    assert score(o, o) == 0
+    score = lambda tape: sum(w for _, w in brute_grammar([*tape, "|"]))
+    assert score("ti") > score("oi") > score("qi") > 0
+    assert score("ni") < score("oi") == score("noooi")
+    assert score("th") == score("ht") == score("hoot") > score("oh") > 0
+    assert score("nth") < score("th") and score("qht") < score("ht") and score("hti") > score("hi")
+    assert score("ooo") == 0
+
+
+def brute_text(lexicon: toxicity.Lexicon, text: str) -> tuple[list[str], float, float]:
+    """Classes of the words, sum and maximum of the clauses' scores: by regular expressions and single transducers."""
+    kinds = {h: (k, w) for h, k, w in zip(lexicon.hashes.tolist(), lexicon.classes.tolist(), lexicon.weights.tolist(), strict=True)}
+    total, most, seen = 0.0, 0.0, []
+    for clause in re.split(r"[.!?;:,|()\"\n\r]", text):
+        tape, weights = [], []
+        for w in re.findall(r"[^\W\d_]*n['’]t(?![^\W\d_])|[^\W\d_]+", clause):
+            raw = np.frombuffer(w.lower().encode(), np.uint8)
+            _, _, whole, stems = toxicity.token_hashes(raw, np.array([0, len(raw)]))
+            kind, weight = kinds.get(int(whole[0]), (toxicity.OTHER, 1.0))
+            insults = [kinds[int(h[0])][1] for h in (whole, *stems.values()) if kinds.get(int(h[0]), (0, 0))[0] == toxicity.INSULT]
+            kind, weight = (toxicity.INSULT, max(insults)) if insults else (kind, 1.0)
+            tape.append(toxicity.SYMBOLS[kind])
+            weights.append(weight)
+        seen += tape
+        steps = toxicity.grammar(lexicon.arcs).run([*tape, "|"])
+        score = sum(w * v for (c, w), v in zip(steps, [*weights, 1.0], strict=True) if c)
+        total, most = total + score, max(most, score)
+    return seen, total, most
+
+
+def test_text_features_by_brute_force():
+    rng = random.Random(9)
+    forms = ["grobling", "fiend", "wicht"]
+    lexicon = toxicity.Lexicon.of({int(h): 3.0 + k for k, h in enumerate(toxicity._hash_words(forms))})
+    pool = ["you", "don't", "isn’t", "cant", "not", "said", "kill", "grobling", "Fiend", "wicht", "l'ami", "l’ami", "été", "one", "two", "three", "four", "'fiend'", "rock'n't", "x"]
+    texts = ["", "don't", " ".join(rng.choice(pool) for _ in range(2000))] + [" ".join(rng.choice(pool) + rng.choice(["", "", "", ".", ",", "!"]) for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    features, matches = toxicity.text_features(lexicon, toxicity.Automaton(lexicon.arcs), data, offsets)
+    for k, t in enumerate(texts):
+        seen, total, most = brute_text(lexicon, t)
+        assert math.isclose(math.expm1(features[k, 0]), total, abs_tol=1e-9) and math.isclose(features[k, 1], most, abs_tol=1e-9), t
+        assert math.isclose(math.expm1(features[k, 3]), seen.count("i"), abs_tol=1e-9)
+    assert brute_text(lexicon, "You aren't a fiend")[1] < brute_text(lexicon, "You are a fiend")[1]
+
+
+def test_arcs_are_fitted():
+    """Negated matches that are never toxic lose weight, aimed ones that always are gain."""
+    rng = np.random.default_rng(4)
+    at = {m: k for k, m in enumerate(toxicity.MATCHES)}
+    x, y = np.zeros((900, len(toxicity.MATCHES))), np.zeros(900)
+    for i in range(900):
+        kind = rng.choice(["I-", "J", "I", "none"])
+        if kind != "none":
+            x[i, at[kind]] = 3
+        y[i] = kind == "J" or (kind == "I" and rng.random() < 0.5)
+    w = toxicity.fit_arcs(x, y)
+    assert w["negated"] < toxicity.PRIOR["negated"] and w["aimed"] > toxicity.PRIOR["aimed"] and math.isclose(w["idle"], toxicity.PRIOR["idle"], rel_tol=0.05)
 
 
 # --- decontamination ---------------------------------------------------------------
