@@ -199,7 +199,7 @@ def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.nd
     sym = _by_step(flat, begin, lens, offsets)
     emitted = model.emit[sym]
     alpha, beta = np.empty_like(emitted), np.empty_like(emitted)
-    total = np.zeros(len(lens))
+    total, scaled = np.zeros(len(lens)), np.ones(len(sym))
     a = np.where(fresh[:, None], model.start, before @ model.move) * emitted[: steps[0]]
     for t, n in enumerate(steps):
         if t:
@@ -208,6 +208,7 @@ def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.nd
             scale = a @ ones
             a /= scale[:, None]
             total[:n] += np.log(scale)
+            scaled[bounds[t] : bounds[t + 1]] = scale
         alpha[bounds[t] : bounds[t + 1]] = a
     last = offsets[lens - 1] + np.arange(len(lens))
     total += np.log(alpha[last] @ ones)
@@ -223,16 +224,13 @@ def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.nd
             own /= (own @ ones)[:, None]
         b = own
     n = steps[0]
+    gamma = alpha * beta
+    weight = gamma @ ones
+    gamma /= weight[:, None]
     ahead = emitted * beta
+    ahead /= (weight * scaled)[:, None]  # what a move leads to, by the sum over all moves to that place
     earlier = np.arange(n, len(sym)) - np.repeat(active[:-1], active[1:])  # the place before, of all but the first
-    earlier = alpha[earlier]
-    weight = ((earlier @ model.move) * ahead[n:]) @ ones
-    move = earlier.T @ (ahead[n:] / weight[:, None])
-    if not fresh.all():
-        crossed = ((before @ model.move) * ahead[:n]) @ ones
-        move += before[~fresh].T @ (ahead[:n][~fresh] / crossed[~fresh, None])
-    gamma = alpha * beta
-    gamma /= (gamma @ ones)[:, None]
+    move = alpha[earlier].T @ ahead[n:] + before.T @ ahead[:n]
     emit = np.stack([np.bincount(sym, weights=gamma[:, k], minlength=SYMBOLS) for k in range(STATES)], axis=1)
     return np.concatenate([gamma[:n][fresh].sum(axis=0), (move * model.move).ravel(), emit.ravel(), [total.sum()]])
 
@@ -305,38 +303,42 @@ def pieces_of(begin: np.ndarray, lens: np.ndarray, size: np.ndarray) -> tuple[np
     return b, np.minimum(np.repeat(size, n), np.repeat(begin + lens, n) - b)
 
 
-def log_likelihood(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Natural log of the exact probability of each sequence."""
-    out = np.zeros(len(lens))
-    short = np.flatnonzero(lens <= LONG)
+def log_likelihood(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.ndarray, long: int = LONG, piece: int = PIECE) -> np.ndarray:
+    """Natural log of the exact probability of each sequence; long ones by the factors of their pieces."""
+    out, ones = np.zeros(len(lens)), np.ones(STATES)
+    short = np.flatnonzero(lens <= long)
     if len(short):
         order = short[np.argsort(-lens[short], kind="stable")]
         active, offsets = _steps(lens[order])
         emitted = model.emit[_by_step(flat, begin[order], lens[order], offsets)]
-        a = np.tile(model.start, (len(order), 1))
-        total = np.zeros(len(order))
+        a, total = np.tile(model.start, (len(order), 1)), np.zeros(len(order))
         for t, n in enumerate(active.tolist()):
-            a = (a[:n] @ model.move if t else a[:n]) * emitted[offsets[t] : offsets[t + 1]]
-            s = a.sum(axis=1)
-            a /= s[:, None]
-            total[:n] += np.log(s)
+            if n < len(a):  # the others have ended
+                total[n : len(a)] += np.log(a[n:] @ ones)
+            a = (a[:n] @ model.move if t else a) * emitted[offsets[t] : offsets[t + 1]]
+            if t % SCALE == SCALE - 1:
+                s = a @ ones
+                a /= s[:, None]
+                total[:n] += np.log(s)
+        total[: len(a)] += np.log(a @ ones)
         out[order] = total
-    for r in np.flatnonzero(lens > LONG).tolist():
-        out[r] = _long_likelihood(model, flat[begin[r] : begin[r] + lens[r]])
+    far = np.flatnonzero(lens > long)
+    if len(far):
+        count = -(-lens[far] // piece)
+        b, n = pieces_of(begin[far], lens[far], np.full(len(far), piece))
+        starts = np.zeros(len(n), bool)
+        starts[np.cumsum(count) - count] = True
+        factor, logs = _transfers(model, flat, b, n, starts)
+        k = 0
+        for r, pieces in zip(far.tolist(), count.tolist(), strict=True):
+            a = model.start
+            for _ in range(pieces):
+                a, scale = _chain(a, factor[k], logs[k])
+                out[r] += scale
+                k += 1
     return out
 
 
-def _long_likelihood(model: Model, sym: np.ndarray, piece: int = PIECE) -> float:
-    """The same by pieces, from their factors."""
-    begin, lens = pieces_of(np.array([0]), np.array([len(sym)]), np.array([piece]))
-    factor, logs = _transfers(model, sym, begin, lens, np.arange(len(lens)) == 0)
-    a, total = model.start, 0.0
-    for f, lg in zip(factor, logs, strict=True):
-        a, scale = _chain(a, f, lg)
-        total += scale
-    return total
-
-
 def encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Per row: its symbols, what the dictionary tells, and its words beyond it: (uid, doc_id, held_out, n_tokens, known, base, inner, symbols, rare)."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)

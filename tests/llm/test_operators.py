@@ -744,7 +744,9 @@ def test_hmm_likelihood_and_learning():
     assert np.allclose(hmm.log_likelihood(m, flat, begin, lens), want)
     long = rng.integers(0, hmm.SYMBOLS, 9000).astype(np.int16)
     for piece in (1024, 70, 9000):
-        assert math.isclose(hmm._long_likelihood(m, long, piece), brute_forward_scaled(m, long), rel_tol=1e-12)
+        both = np.concatenate([long, flat, long[:5000]])
+        got = hmm.log_likelihood(m, both, np.array([0, 9000, 9000 + len(flat)]), np.array([9000, len(flat), 5000]), 4096, piece)
+        assert np.allclose(got, [brute_forward_scaled(m, x) for x in (long, flat, long[:5000])], rtol=1e-12)
     sums = hmm.expected_counts(m, flat, begin, lens)
     assert math.isclose(sums[: hmm.STATES].sum(), len(lens)) and math.isclose(sums[hmm.STATES + hmm.STATES**2 : -1].sum(), lens.sum())
     assert math.isclose(sums[hmm.STATES : hmm.STATES + hmm.STATES**2].sum(), lens.sum() - len(lens))
