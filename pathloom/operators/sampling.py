@@ -78,8 +78,14 @@ def quota_sample(df: DataFrame, by: str, quotas: Mapping[str, int], keys: Sequen
 def bucket_sample(df: DataFrame, total: int, keys: Sequence[str], buckets: int = 400, seed: str = "bucket") -> DataFrame:
     """About ``total`` rows: of each hash bucket at most total // buckets, of the last also the remainder."""
     quota = F.lit(total // buckets) + F.when(F.col("_bucket") == buckets - 1, total % buckets).otherwise(0)
-    w = Window.partitionBy("_bucket").orderBy(hash_order(f"{seed}-rank", keys), *map(F.col, keys))
-    return hash_buckets(df, buckets, keys, seed, "_bucket").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= quota).drop("_rank", "_bucket")
+    tagged = hash_buckets(df, buckets, keys, seed, "_bucket").withColumn("_h", hash_order(f"{seed}-rank", keys)).withColumn("_part", F.substring("_h", 1, 2))
+    before = Window.partitionBy("_bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = tagged.groupBy("_bucket", "_part").agg(F.count(F.lit(1)).alias("_n"))  # buckets x 256 rows at most
+    left = (quota - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_left")
+    met = tagged.join(F.broadcast(sizes.select("_bucket", "_part", "_n", left).where("_left > 0")), ["_bucket", "_part"])
+    w = Window.partitionBy("_bucket", "_part").orderBy("_h", *map(F.col, keys))  # only where the quota ends are rows sorted
+    part = met.where("_n > _left").withColumn("_rank", F.row_number().over(w)).where("_rank <= _left").drop("_rank")
+    return met.where("_n <= _left").unionByName(part).select(*df.columns)
 
 
 def fraction_sample(df: DataFrame, fraction: float, keys: Sequence[str], seed: str = "fraction") -> DataFrame:

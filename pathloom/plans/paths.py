@@ -12,6 +12,7 @@ from pathloom.naming import feature_col, path_feature_col, path_node_col
 from pathloom.operators.aggregate import slot
 from pathloom.operators.metrics import match_metrics
 from pathloom.operators.sampling import sample_by
+from pathloom.sources.shared import written
 from pathloom.plans.hops import Tokens, hop_table
 from pathloom.spec import BiPathSpec, GraphSpec, HopSpec, PathSpec, PathStep, Sample, linear_path
 
@@ -36,10 +37,13 @@ def _hop_as_path(tokens: Tokens, path: PathSpec, number: int, edge_features: boo
 
 
 class PathPlanner:
-    """Plans of paths over one set of tokens. Paths that begin alike share their prefix's plan; ``persist`` keeps prefixes that several paths use."""
+    """Plans of paths over one set of tokens. Paths that begin alike share their prefix's plan; ``write`` writes each prefix once, for several paths that use it.
 
-    def __init__(self, tokens: Tokens, targets: DataFrame | None = None, target_position: int = 0, persist: bool = False):
-        self.tokens, self.targets, self.target_position, self.persist = tokens, targets, target_position, persist
+    ``targets`` are nodes at ``target_position`` of every path; a path is cut to them as soon as it has that position.
+    """
+
+    def __init__(self, tokens: Tokens, targets: DataFrame | None = None, target_position: int = 0, write: bool = False):
+        self.tokens, self.targets, self.target_position, self.write = tokens, targets, target_position, write
         self._made: dict[tuple[PathStep, ...], DataFrame] = {}
 
     def prefix(self, path: PathSpec) -> DataFrame:
@@ -50,12 +54,13 @@ class PathPlanner:
         number = len(path.steps) - 1
         step, types = path.steps[-1], path.types(graph)
         hop = _hop_as_path(self.tokens, path, number, False)
+        new = {step.at, step.to} if number == 0 else {step.to}
+        if self.targets is not None and self.target_position in new:  # cut before the join
+            at = position_cols(graph, types, self.target_position)
+            named = self.targets.select(*[F.col(c).alias(a) for c, a in zip(self.targets.columns, [*at, *graph.time_cols], strict=True)])
+            hop = hop.join(named, [*at, *graph.time_cols], "left_semi")
         if number == 0:
             df = hop
-            if self.targets is not None:
-                at = position_cols(graph, types, step.at)
-                named = self.targets.select(*[F.col(c).alias(a) for c, a in zip(self.targets.columns, [*at, *graph.time_cols], strict=True)])
-                df = df.join(named, [*at, *graph.time_cols], "left_semi")
         else:
             before = self.prefix(replace(path, steps=path.steps[:-1]))
             df = before.join(hop, [*position_cols(graph, types, step.at), *graph.time_cols], step.hop.how)
@@ -68,16 +73,11 @@ class PathPlanner:
             group = [c for p in s.group for c in position_cols(graph, types, p)] + list(graph.time_cols)
             keys = [*path_cols(graph, replace(path, steps=path.steps[: number + 1])), *graph.time_cols]
             df = sample_by(s.kind, df, group, s.n, keys, (), f"{'/'.join(x.hop.label for x in path.steps)}-{number}-{k}")
-        if self.persist:
-            df = df.persist()
+        if self.write:
+            df = written(df, "prefix")
         self._made[path.steps] = df
         return df
 
-    def release(self) -> None:
-        for df in self._made.values():
-            df.unpersist()
-        self._made.clear()
-
 
 def attach_features(tokens: Tokens, path: PathSpec, instances: DataFrame, short: bool = False, positions: Sequence[int] | None = None, edges: Sequence[int] | None = None) -> DataFrame:
     """Instances with feature structs of nodes and edges, joined after the path is complete; missing ones have zero slots.
@@ -183,14 +183,15 @@ def find_paths(tokens: Tokens, pairs: DataFrame, hops: Sequence[HopSpec], head:
     """Match metrics of every path type, best first. ``pairs``: head columns, tail columns, graph time of the known links.
 
     Head-side walks start from the pairs' heads, tail-side walks from their tails;
-    walks that begin alike are planned once.
+    walks that begin alike are computed once and written.
     """
     graph = tokens.graph
     h, t = graph.width(head), graph.width(tail)
     cols, times = pairs.columns, list(graph.time_cols)
     heads = pairs.select(*cols[:h], *times).distinct()
     tails = pairs.select(*cols[h : h + t], *times).distinct()
-    forward, backward = PathPlanner(tokens, heads), PathPlanner(tokens, tails)
+    pairs, heads, tails = written(pairs, "pairs"), written(heads, "heads"), written(tails, "tails")
+    forward, backward = PathPlanner(tokens, heads, write=both_ends), PathPlanner(tokens, tails, write=both_ends)
     rows = []
     for specs in bipath_types(graph, hops, head, tail, max_hop, n).values():
         for s in specs:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -236,9 +235,11 @@ def table_quality(spark, sf_dir):
     return A.table_quality(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_totalprice", "o_orderstatus"])
 
 
-@query()
+@query("""WITH q AS (SELECT unnest(quantile_disc(o_totalprice, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS edge FROM orders),
+b AS (SELECT row_number() OVER (ORDER BY edge) - 1 AS bin, edge AS lower, lead(edge) OVER (ORDER BY edge) AS upper FROM (SELECT DISTINCT edge FROM q))
+SELECT CAST(bin AS INT) AS bin, lower, upper, count(*) AS rows FROM orders JOIN b ON o_totalprice >= lower AND (o_totalprice < upper OR (o_totalprice = upper AND upper = (SELECT max(edge) FROM q))) WHERE upper IS NOT NULL GROUP BY ALL""")
 def quantile_histogram(spark, sf_dir):
-    return A.quantile_histogram(table(spark, sf_dir, "orders"), "o_totalprice", 10)
+    return A.quantile_histogram(table(spark, sf_dir, "orders"), "o_totalprice", 10, 10_000_000)
 
 
 # --- sampling ------------------------------------------------------------------------
@@ -344,14 +345,25 @@ def path_2hop_sampled(spark, sf_dir):
     return paths.PathPlanner(_tokens(spark, sf_dir)).prefix(_cps(5))
 
 
-def _heads(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
-    """Query heads: the customers whose key is divisible by ``modulus``, as a search is asked from given heads; 1: all."""
-    return table(spark, sf_dir, "customer").where(F.col("c_custkey") % modulus == 0).select(F.col("c_custkey").cast("string").alias("c"), F.lit("1999").alias("graph_year"))
+def _named(customers: DataFrame) -> DataFrame:
+    return customers.select(F.col("c_custkey").cast("string").alias("c"), F.lit("1999").alias("graph_year"))
+
+
+def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers."""
+    return _named(table(spark, sf_dir, "customer"))
 
 
-@query(f"WITH {SQL_EDGES} SELECT c AS {C0}, p AS {P1}, '1999' AS graph_year FROM e WHERE CAST(c AS INT) % 10 = 0")
-def target_semi_join(spark, sf_dir, modulus=10):
-    return paths.PathPlanner(_tokens(spark, sf_dir), _heads(spark, sf_dir, modulus)).prefix(linear_path("cp", [HopSpec(BUYS)]))
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads that a search is asked from: customers whose key is divisible by 100, against all rows."""
+    return _named(table(spark, sf_dir, "customer").where("c_custkey % 100 = 0"))
+
+
+@query(f"WITH {SQL_EDGES} SELECT c AS {C0}, p AS {P1}, '1999' AS graph_year FROM e WHERE c IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING')")
+def target_semi_join(spark, sf_dir):
+    """Targets: the customers of one market segment."""
+    targets = _named(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"))
+    return paths.PathPlanner(_tokens(spark, sf_dir), targets).prefix(linear_path("cp", [HopSpec(BUYS)]))
 
 
 _CPCP = [HopSpec(BUYS), HopSpec(BUYS, 1, 0), HopSpec(BUYS)]
@@ -365,17 +377,18 @@ def _count_pairs(df: DataFrame, head: str, tail: str) -> DataFrame:
 def path_3hop_bidir(spark, sf_dir):
     tk = _tokens(spark, sf_dir)
     spec = paths.bipath(_CPCP)
-    heads = _heads(spark, sf_dir, 100)
+    heads = _asked(spark, sf_dir)
     df = paths.bipath_instances(spec, tk.graph, paths.PathPlanner(tk, heads), paths.PathPlanner(tk))
     return _count_pairs(df, C0, "Node_3_Part_Col_0")
 
 
-@query(f"WITH {SQL_EDGES} SELECT a.c AS head, g.s AS tail, count(*) AS instances FROM e a JOIN e b ON a.p = b.p JOIN e d ON b.c = d.c JOIN f g ON d.p = g.p WHERE CAST(a.c AS INT) % 750 = 0 AND CAST(g.s AS INT) % 20 = 0 GROUP BY ALL")
-def path_4hop_bidir(spark, sf_dir, modulus=750, tail_modulus=20):
+@query(f"WITH {SQL_EDGES} SELECT a.c AS head, g.s AS tail, count(*) AS instances FROM e a JOIN e b ON a.p = b.p JOIN e d ON b.c = d.c JOIN f g ON d.p = g.p WHERE CAST(a.c AS INT) % 100 = 0 GROUP BY ALL")
+def path_4hop_bidir(spark, sf_dir):
+    """All four-hop instances from given heads to all suppliers, counted by pair."""
     tk = _tokens(spark, sf_dir)
     spec = paths.bipath([*_CPCP, HopSpec(SHIPS)])
-    tails = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % tail_modulus == 0).select(F.col("s_suppkey").cast("string").alias("s"), F.lit("1999").alias("graph_year"))
-    df = paths.bipath_instances(spec, tk.graph, paths.PathPlanner(tk, _heads(spark, sf_dir, modulus)), paths.PathPlanner(tk, tails))
+    tails = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s"), F.lit("1999").alias("graph_year"))
+    df = paths.bipath_instances(spec, tk.graph, paths.PathPlanner(tk, _asked(spark, sf_dir)), paths.PathPlanner(tk, tails))
     return _count_pairs(df, C0, "Node_4_Supplier_Col_0")
 
 
@@ -478,10 +491,10 @@ def unlabeled_samples(spark, sf_dir):
     return pairs.unlabeled_samples([(purchases(spark, sf_dir), ["custkey"]), (table(spark, sf_dir, "customer"), ["c_custkey"])], ["id"], ("graph_year", "1999"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
-    """Pairs by two paths from given heads: parts of the same supplier, and parts bought by buyers of the same part."""
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by two paths from all customers: parts of the same supplier, and parts bought by buyers of the same part."""
     tk = _tokens(spark, sf_dir)
-    planner = paths.PathPlanner(tk, _heads(spark, sf_dir, modulus))
+    planner = paths.PathPlanner(tk, _heads(spark, sf_dir))
     one = linear_path("s", [HopSpec(BUYS, edge_samples=(Sample("random", (0,), 5),)), HopSpec(SHIPS, edge_samples=(Sample("random", (0,), 5),)), HopSpec(SHIPS, 1, 0, edge_samples=(Sample("random", (1,), 5),))])
     two = linear_path("c", [HopSpec(BUYS, edge_samples=(Sample("random", (0,), 5),)), HopSpec(BUYS, 1, 0, edge_samples=(Sample("random", (1,), 5),)), HopSpec(BUYS, edge_samples=(Sample("random", (0,), 5),))])
     return pairs.union_pairs([planner.prefix(one), planner.prefix(two)], [[C0, "Node_3_Part_Col_0", "graph_year"]] * 2, ["custkey", "partkey", "graph_year"])
@@ -490,19 +503,19 @@ def _candidates(spark: SparkSession, sf_dir: str, modulus: int) -> DataFrame:
 _F5B = _sampled("f", "s", "p, s", f"backward_{SHIPS}-edge-0", 5)
 _E5B = _sampled("e", "p", "c, p", f"backward_{BUYS}-edge-0", 5)
 SQL_CANDIDATES = f"""e5 AS {_E5}, f5 AS {_F5}, f5b AS {_F5B}, e5b AS {_E5B},
-cand AS (SELECT DISTINCT custkey, partkey FROM (SELECT a.c AS custkey, d.p AS partkey FROM e5 a JOIN f5 b ON a.p = b.p JOIN f5b d ON b.s = d.s WHERE CAST(a.c AS INT) % 50 = 0
-  UNION ALL SELECT a.c, d.p FROM e5 a JOIN e5b b ON a.p = b.p JOIN e5 d ON b.c = d.c WHERE CAST(a.c AS INT) % 50 = 0))"""
+cand AS (SELECT DISTINCT custkey, partkey FROM (SELECT a.c AS custkey, d.p AS partkey FROM e5 a JOIN f5 b ON a.p = b.p JOIN f5b d ON b.s = d.s
+  UNION ALL SELECT a.c, d.p FROM e5 a JOIN e5b b ON a.p = b.p JOIN e5 d ON b.c = d.c))"""
 
 
 @query(f"WITH {SQL_EDGES}, {SQL_CANDIDATES} SELECT custkey, partkey, '1999' AS graph_year FROM cand")
-def candidate_union(spark, sf_dir, modulus=50):
-    return _candidates(spark, sf_dir, modulus)
+def candidate_union(spark, sf_dir):
+    return _candidates(spark, sf_dir)
 
 
-def _labelled_pairs(spark: SparkSession, sf_dir: str, infer: bool, modulus: int) -> DataFrame:
+def _labelled_pairs(spark: SparkSession, sf_dir: str, infer: bool) -> DataFrame:
     labels = _labels(spark, sf_dir).withColumnRenamed("year", "graph_year")
     known = purchases(spark, sf_dir).where("year <= '1999'").select("custkey", "partkey")
-    return pairs.label_pairs(_candidates(spark, sf_dir, modulus), labels, ["custkey"], ["partkey"], ["graph_year"], [known], infer)
+    return pairs.label_pairs(_candidates(spark, sf_dir), labels, ["custkey"], ["partkey"], ["graph_year"], [known], infer)
 
 
 SQL_LABELLED = f"""left_ AS (SELECT custkey, partkey FROM cand k WHERE NOT EXISTS (SELECT 1 FROM buys o WHERE o.year <= '1999' AND o.custkey = k.custkey AND o.partkey = k.partkey)),
@@ -515,8 +528,8 @@ labelled AS (SELECT *, 1 AS label FROM pos UNION ALL SELECT *, 0 FROM neg)"""
 
 
 @query(f"WITH {SQL_EDGES}, {SQL_CANDIDATES}, {SQL_LABELS}, {SQL_LABELLED} SELECT custkey, partkey, '1999' AS graph_year, sample_type, CAST(label AS VARCHAR) AS label FROM labelled UNION ALL SELECT custkey, partkey, '1999', 'infer', NULL FROM unknown")
-def pairs_labeled(spark, sf_dir, modulus=50):
-    return _labelled_pairs(spark, sf_dir, True, modulus).withColumn("label", F.col("label").cast("string"))
+def pairs_labeled(spark, sf_dir):
+    return _labelled_pairs(spark, sf_dir, True).withColumn("label", F.col("label").cast("string"))
 
 
 @query(f"""WITH {SQL_EDGES}, {SQL_CANDIDATES}, {SQL_LABELS}, {SQL_LABELLED}, quota AS (SELECT sample_type, count(*) * CASE sample_type WHEN 'train' THEN 3 ELSE 5 END AS total FROM pos GROUP BY sample_type),
@@ -524,29 +537,29 @@ b AS (SELECT n.*, floor(CAST(('0x' || substr(md5(concat_ws('|', 'neg-' || sample
 k AS (SELECT *, row_number() OVER (PARTITION BY sample_type, bucket ORDER BY md5(concat_ws('|', 'neg-' || sample_type || '-rank', custkey, partkey)), custkey, partkey) AS rk FROM b)
 SELECT custkey, partkey, '1999' AS graph_year, sample_type, label FROM labelled WHERE label = 1
 UNION ALL SELECT custkey, partkey, '1999', sample_type, 0 FROM k JOIN quota USING (sample_type) WHERE rk <= total // 10 + CASE WHEN bucket = 9 THEN total % 10 ELSE 0 END""")
-def neg_sampling(spark, sf_dir, modulus=50):
-    return pairs.sample_negatives(_labelled_pairs(spark, sf_dir, False, modulus), {"train": 3, "valid": 5, "test": 5}, ["custkey", "partkey"], 10)
+def neg_sampling(spark, sf_dir):
+    return pairs.sample_negatives(_labelled_pairs(spark, sf_dir, False), {"train": 3, "valid": 5, "test": 5}, ["custkey", "partkey"], 10)
 
 
-def _collection(spark: SparkSession, sf_dir: str, modulus: int) -> collect.Collection:
-    instances = paths.PathPlanner(_tokens(spark, sf_dir), _heads(spark, sf_dir, modulus)).prefix(_cps(None))
+def _collection(spark: SparkSession, sf_dir: str) -> collect.Collection:
+    instances = paths.PathPlanner(_tokens(spark, sf_dir), _heads(spark, sf_dir)).prefix(_cps(None))
     return collect.Collection("cps", instances, (C0, "graph_year"), ("custkey", "graph_year"), (P1, S2))
 
 
 SQL_COLLECT = f"""caps AS (SELECT * FROM (SELECT e.c AS custkey, e.p, f.s, row_number() OVER (PARTITION BY e.c ORDER BY {_md5('collect-cps', 'e.c', chr(39) + '1999' + chr(39), 'e.p', 'f.s')}) AS rk
-  FROM e JOIN f ON e.p = f.p WHERE CAST(e.c AS INT) % 50 = 0) WHERE rk <= 6)"""
+  FROM e JOIN f ON e.p = f.p) WHERE rk <= 6)"""
 
 
-@query(f"WITH {SQL_EDGES}, {SQL_COLLECT} SELECT CAST(c_custkey AS VARCHAR) AS custkey, '1999' AS graph_year, CAST(n AS INT) AS cps_collect_count, ps AS parts, ss AS suppliers FROM customer LEFT JOIN (SELECT custkey, count(*) AS n, string_agg(p, ',' ORDER BY p, s) AS ps, string_agg(s, ',' ORDER BY p, s) AS ss FROM caps GROUP BY ALL) ON custkey = CAST(c_custkey AS VARCHAR) WHERE c_custkey % 50 = 0")
-def pair_collection(spark, sf_dir, modulus=50):
-    heads = _heads(spark, sf_dir, modulus).withColumnRenamed("c", "custkey")
-    out = collect.collect_pairs(heads, [_collection(spark, sf_dir, modulus)], 6)
+@query(f"WITH {SQL_EDGES}, {SQL_COLLECT} SELECT CAST(c_custkey AS VARCHAR) AS custkey, '1999' AS graph_year, CAST(n AS INT) AS cps_collect_count, ps AS parts, ss AS suppliers FROM customer LEFT JOIN (SELECT custkey, count(*) AS n, string_agg(p, ',' ORDER BY p, s) AS ps, string_agg(s, ',' ORDER BY p, s) AS ss FROM caps GROUP BY ALL) ON custkey = CAST(c_custkey AS VARCHAR)")
+def pair_collection(spark, sf_dir):
+    heads = _heads(spark, sf_dir).withColumnRenamed("c", "custkey")
+    out = collect.collect_pairs(heads, [_collection(spark, sf_dir)], 6)
     return out.select("custkey", "graph_year", "cps_collect_count", F.array_join(f"cps_clt_{P1}", ",").alias("parts"), F.array_join(f"cps_clt_{S2}", ",").alias("suppliers"))
 
 
 @query(f"WITH {SQL_EDGES}, {SQL_COLLECT}, r AS (SELECT *, row_number() OVER (PARTITION BY custkey ORDER BY p, s) AS i, count(*) OVER (PARTITION BY custkey) AS n FROM caps) SELECT custkey, '1999' AS graph_year, CAST(n AS INT) AS cps_collect_count, max(CASE WHEN i = 1 THEN p END) AS first_part, max(CASE WHEN i = 2 THEN s END) AS second_supplier FROM r GROUP BY ALL")
-def collect_slots(spark, sf_dir, modulus=50):
-    c = _collection(spark, sf_dir, modulus)
+def collect_slots(spark, sf_dir):
+    c = _collection(spark, sf_dir)
     out = collect.as_slots(collect.collect(c, 6), c, 2)
     return out.select("custkey", "graph_year", "cps_collect_count", F.col(f"cps_id_0_{P1}").alias("first_part"), F.col(f"cps_id_1_{S2}").alias("second_supplier"))
 
@@ -572,8 +585,8 @@ def subgraph_edges_indexed(spark, sf_dir):
 
 @query(f"""WITH {SQL_EDGES}, {SQL_COLLECT}, n AS (SELECT custkey, count(*) AS n FROM caps GROUP BY ALL), r AS (SELECT custkey, CAST(unnest(range(n)) AS INT) AS instance FROM n)
 SELECT custkey, CAST(row_number() OVER (PARTITION BY custkey ORDER BY instance) + 1 AS INT) AS slot, 0 AS path, instance, row_number() OVER (ORDER BY {_md5('token', 'custkey', '0', 'instance')}, custkey, instance) + 1 AS path_index FROM r""")
-def token_index_encoding(spark, sf_dir, modulus=50):
-    return dataset.token_index(collect.collect(_collection(spark, sf_dir, modulus), 6), ["custkey"], ["cps"], ["custkey"])
+def token_index_encoding(spark, sf_dir):
+    return dataset.token_index(collect.collect(_collection(spark, sf_dir), 6), ["custkey"], ["cps"], ["custkey"])
 
 
 # --- scores -----------------------------------------------------------------------------
@@ -624,10 +637,10 @@ def minmax_std_scale(spark, sf_dir):
 
 
 @query()
-def lr_scorer(spark, sf_dir, modulus=50):
+def lr_scorer(spark, sf_dir):
     """Pairs scored by the default scorer from path counts: (custkey, partkey, sample_type, label, score)."""
-    labelled = _labelled_pairs(spark, sf_dir, False, modulus)
-    c = _collection(spark, sf_dir, modulus)
+    labelled = _labelled_pairs(spark, sf_dir, False)
+    c = _collection(spark, sf_dir)
     met = labelled.join(collect.collect(c, 20).select("custkey", "graph_year", "cps_collect_count"), ["custkey", "graph_year"], "left")
     features = dataset.pair_features(met, ["cps"]).withColumn("f_1", W.hash_fraction("noise", ["custkey", "partkey"]))
     scorer = dataset.LogisticScorer(["f_0", "f_1"]).fit(features.where("sample_type = 'train'"))
@@ -657,17 +670,17 @@ def train_instances(spark, sf_dir):
 @query(f"""WITH {SQL_EDGES}, {SQL_CANDIDATES}, {SQL_LABELS}, {SQL_LABELLED}, quota AS (SELECT sample_type, 2 * count(*) AS total FROM pos GROUP BY sample_type),
 k AS (SELECT *, row_number() OVER (PARTITION BY sample_type ORDER BY floor({_u('batch', 'custkey', 'partkey')} * 64), {_md5('batch', 'custkey', 'partkey')}) AS rk FROM neg)
 SELECT custkey, partkey, '1999' AS graph_year, sample_type, label FROM labelled WHERE label = 1 UNION ALL SELECT custkey, partkey, '1999', sample_type, 0 FROM k JOIN quota USING (sample_type) WHERE rk <= total""")
-def training_batch(spark, sf_dir, modulus=50):
-    return pairs.training_batch(_labelled_pairs(spark, sf_dir, False, modulus), ["custkey", "partkey"], 2)
+def training_batch(spark, sf_dir):
+    return pairs.training_batch(_labelled_pairs(spark, sf_dir, False), ["custkey", "partkey"], 2)
 
 
 @query(f"""WITH {SQL_EDGES}, a AS (SELECT c, CAST(least(6, count(*)) AS INT) AS n FROM e GROUP BY c), b AS (SELECT e.c, CAST(least(6, count(*)) AS INT) AS n FROM e JOIN f ON e.p = f.p GROUP BY e.c)
-SELECT CAST(c_custkey AS VARCHAR) AS custkey, coalesce(b.n, 0) AS cps_collect_count, coalesce(a.n, 0) AS cp_collect_count FROM customer LEFT JOIN a ON a.c = CAST(c_custkey AS VARCHAR) LEFT JOIN b ON b.c = CAST(c_custkey AS VARCHAR) WHERE c_custkey % 50 = 0""")
-def multi_path_collection(spark, sf_dir, modulus=50):
-    heads = _heads(spark, sf_dir, modulus)
+SELECT CAST(c_custkey AS VARCHAR) AS custkey, coalesce(b.n, 0) AS cps_collect_count, coalesce(a.n, 0) AS cp_collect_count FROM customer LEFT JOIN a ON a.c = CAST(c_custkey AS VARCHAR) LEFT JOIN b ON b.c = CAST(c_custkey AS VARCHAR)""")
+def multi_path_collection(spark, sf_dir):
+    heads = _heads(spark, sf_dir)
     short = paths.PathPlanner(_tokens(spark, sf_dir), heads).prefix(linear_path("cp", [HopSpec(BUYS)]))
     one = collect.Collection("cp", short, (C0, "graph_year"), ("custkey", "graph_year"), (P1,))
-    out = collect.collect_pairs(heads.withColumnRenamed("c", "custkey"), [_collection(spark, sf_dir, modulus), one], 6)
+    out = collect.collect_pairs(heads.withColumnRenamed("c", "custkey"), [_collection(spark, sf_dir), one], 6)
     return collect.fill_counts(out, ["cps", "cp"]).select("custkey", "cps_collect_count", "cp_collect_count")
 
 
@@ -683,19 +696,3 @@ def merged_vectors(spark, sf_dir):
 @query(f"WITH {_S} SELECT o_orderkey, score, row_number() OVER (ORDER BY score DESC, o_orderkey) AS rank FROM s")
 def ranked_predictions(spark, sf_dir):
     return M.rank_predictions(_scored(spark, sf_dir).select("o_orderkey", "score"), ["o_orderkey"])
-
-
-# --- the same over all customers and suppliers --------------------------------------------
-
-
-def _whole(name: str, **moduli: int) -> None:
-    """Register ``name``_all: the query without its id subset, held against the same SQL without it."""
-    subset = QUERIES[name]
-    QUERIES[f"{name}_all"] = lambda spark, sf_dir: subset(spark, sf_dir, **moduli)
-    if name in ORACLE_SQL:
-        ORACLE_SQL[f"{name}_all"] = re.sub(r"(CAST\([\w.]+ AS INT\)|c_custkey) % \d+ = 0", "true", ORACLE_SQL[name])
-
-
-_whole("path_4hop_bidir", modulus=1, tail_modulus=1)
-for _name in ("target_semi_join", "candidate_union", "pairs_labeled", "neg_sampling", "training_batch", "lr_scorer", "pair_collection", "collect_slots", "multi_path_collection", "token_index_encoding"):
-    _whole(_name, modulus=1)
