@@ -81,7 +81,3 @@ def estimated_row_bytes(schema: T.StructType, sizes: Mapping[str, int] | None =
 
 def estimated_partitions(df: DataFrame, rows: int, target_bytes: int = 128 << 20) -> int:
     return max(1, -(-rows * estimated_row_bytes(df.schema) // target_bytes))
-
-
-def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -108,5 +109,15 @@ def table_quality(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -
     return out.withColumn("rows", F.when(F.col("rows") == 0, F.raise_error(F.lit("the table is empty")).cast("long")).otherwise(F.col("rows")))
 
 
+def validate_tables(tables: Sequence[tuple[str, DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """(table, period, rows, duplicate_keys) per table and partition; ``tables``: (name, frame, keys, partition columns). Keys are counted once, then partitions."""
+    parts = []
+    for name, df, keys, times in tables:
+        period = F.concat_ws("|", *[F.col(t).cast("string") for t in times]) if times else F.lit("")
+        per_key = df.withColumn("_period", period).groupBy("_period", *[k for k in keys if k not in times]).agg(F.count(F.lit(1)).alias("_n"))
+        parts.append(per_key.groupBy(F.lit(name).alias("table"), F.col("_period").alias("period")).agg(F.sum("_n").alias("rows"), F.count(F.when(F.col("_n") > 1, 1)).alias("duplicate_keys")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def group_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows"))

@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.sampling import sample_by
 from pathloom.naming import feature_col
-from pathloom.plans.tokens import token_table
+from pathloom.plans.tokens import fingerprint, token_table
+from pathloom.sources.tables import compute_missing
 from pathloom.spec import GraphSpec, HopSpec, Sample
 
 
 class Tokens:
-    """Token tables of a graph at given graph times, each planned once."""
+    """Token tables of a graph at given graph times, each planned once.
 
-    def __init__(self, spark: SparkSession, graph: GraphSpec, targets: Sequence[Sequence[str]], overrides: dict[tuple[str, str], DataFrame] | None = None):
-        self.spark, self.graph, self.targets = spark, graph, [tuple(t) for t in targets]
+    With a ``folder``, tables are saved there by graph time: times that are complete under
+    the same specification are read, only the others are computed.
+    """
+
+    def __init__(self, spark: SparkSession, graph: GraphSpec, targets: Sequence[Sequence[str]], overrides: dict[tuple[str, str], DataFrame] | None = None, folder: str | None = None):
+        self.spark, self.graph, self.targets, self.folder = spark, graph, [tuple(t) for t in targets], folder
         self._made: dict[tuple[str, str], DataFrame] = dict(overrides or {})
 
     def __call__(self, what: str, name: str) -> DataFrame:
         if (what, name) not in self._made:
-            self._made[what, name] = token_table(self.spark, self.graph, what, name, self.targets)
+            compute = lambda times: token_table(self.spark, self.graph, what, name, times)
+            self._made[what, name] = compute_missing(self.spark, f"{self.folder}/{what}={name}", self.graph.time_cols, self.targets, compute, fingerprint(self.graph, what, name)) if self.folder else compute(self.targets)
         return self._made[what, name]
 
 

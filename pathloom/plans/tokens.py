@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -66,6 +67,13 @@ def table_features(spark: SparkSession, graph: GraphSpec, table: TableSpec, targ
     return time_aggregate(spark, source, keys, table.marked_features, table.time_cols, table.time_formats, table.groups, graph.time_cols, graph.time_formats, targets)
 
 
+def fingerprint(graph: GraphSpec, what: str, name: str) -> str:
+    """Changes with whatever a saved token table's columns depend on."""
+    kind = graph.nodes[name] if what == "node" else graph.edges[name]
+    told = [graph.time_cols, graph.time_formats, [(t.name, t.keys, t.features, t.time_cols, t.time_formats, t.window_columns) for t in kind.tables], kind.slots]
+    return hashlib.md5(repr(told).encode()).hexdigest()
+
+
 def token_table(spark: SparkSession, graph: GraphSpec, what: str, name: str, targets: Sequence[Sequence[str]]) -> DataFrame:
     """Identifiers, graph time and a struct of features of a node or edge type: all its tables' window columns and presence marks.
 

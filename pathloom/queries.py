@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -11,14 +12,16 @@ from pyspark.sql import functions as F
 from pathloom import commerce
 from pathloom.commerce import BUYS, SHIPS, purchases, table
 from pathloom.functions import columns as C
-from pathloom.functions.timeutil import TimeWindow, WindowGroup, time_map
+from pathloom.functions.timeutil import TimeWindow, WindowGroup, reformat, time_map
 from pathloom.operators import aggregate as A
 from pathloom.operators import features as V
 from pathloom.operators import metrics as M
 from pathloom.operators import sampling as W
 from pathloom.plans import collect, dataset, pairs, paths, tokens
 from pathloom.plans.hops import Tokens, hop_table
-from pathloom.sources.tables import clean_source, file_counts
+from pathloom.sources.publications import publication_tables, read_records
+from pathloom.sources.shared import shared_folder
+from pathloom.sources.tables import clean_source, compute_missing, file_counts, read_table, save_table
 from pathloom.spec import HopSpec, NodeLimit, PathSpec, PathStep, Sample, linear_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -696,3 +699,130 @@ def merged_vectors(spark, sf_dir):
 @query(f"WITH {_S} SELECT o_orderkey, score, row_number() OVER (ORDER BY score DESC, o_orderkey) AS rank FROM s")
 def ranked_predictions(spark, sf_dir):
     return M.rank_predictions(_scored(spark, sf_dir).select("o_orderkey", "score"), ["o_orderkey"])
+
+
+# --- saved tables, validation, exports ------------------------------------------------------
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/queries/{label}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {SQL_BUYS} SELECT custkey AS who, partkey AS what, year, quantity FROM buys WHERE year IN ('1996', '1998')")
+def saved_partitions(spark, sf_dir):
+    """A table saved by year, and two of its partitions read by name with an aliased projection."""
+    path = _folder(spark, "purchases")
+    save_table(purchases(spark, sf_dir).select("custkey", "partkey", "quantity", "year"), path, ["year"])
+    cols = [("custkey", "who"), ("partkey", "what"), ("year", "year"), ("quantity", "quantity")]
+    return read_table(spark, path, partitions=(["year"], [("1996",), ("1998",)]), select=cols).withColumn("year", F.col("year").cast("string"))
+
+
+@query(f"WITH {SQL_BUYS} SELECT year, custkey, count(*) AS n FROM buys WHERE year IN ('1995', '1996', '1997') GROUP BY ALL")
+def missing_partitions_computed(spark, sf_dir):
+    """Partitions that are complete are read, the missing ones computed and saved."""
+    path = _folder(spark, "counts")
+    counts = lambda years: purchases(spark, sf_dir).where(F.col("year").isin([y for (y,) in years])).groupBy("year", "custkey").agg(F.count(F.lit(1)).alias("n"))
+    compute_missing(spark, path, ["year"], [("1995",), ("1996",)], counts)
+    done = compute_missing(spark, path, ["year"], [("1995",), ("1996",), ("1997",)], counts)
+    return done.select(F.col("year").cast("string").alias("year"), "custkey", "n")
+
+
+@query(f"WITH {SQL_CP} SELECT custkey AS c, partkey AS p, g AS graph_year, count(*) + 0.0 AS n, sum(quantity) AS q FROM cp, (VALUES ('1998'), ('1999')) t(g) WHERE CAST(year AS INT) BETWEEN CAST(g AS INT) - 9 AND CAST(g AS INT) GROUP BY ALL")
+def tokens_saved(spark, sf_dir):
+    """Tokens of one graph time are saved; a second use reads them and computes the other time only."""
+    folder = _folder(spark, "tokens")
+    Tokens(spark, _graph(sf_dir), YEAR, folder=folder)("edge", BUYS)
+    df = Tokens(spark, _graph(sf_dir), YEARS, folder=folder)("edge", BUYS)
+    slots = _graph(sf_dir).edges[BUYS].slots
+    return df.select(F.col("index_0_node_Customer_col_0").alias("c"), F.col("index_1_node_Part_col_0").alias("p"), F.col("graph_year").cast("string").alias("graph_year"), F.col(f"{BUYS}_feat_col.`{slots[0]}`").alias("n"), F.col(f"{BUYS}_feat_col.`{slots[1]}`").alias("q"))
+
+
+@query(f"""WITH {SQL_BUYS}, a AS (SELECT 'purchases' AS "table", year AS period, custkey || '|' || partkey AS k FROM buys UNION ALL SELECT 'orders', '', CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT 'items', '', CAST(l_orderkey AS VARCHAR) FROM lineitem),
+n AS (SELECT "table", period, k, count(*) AS n FROM a GROUP BY ALL) SELECT "table", period, CAST(sum(n) AS BIGINT) AS rows, count(CASE WHEN n > 1 THEN 1 END) AS duplicate_keys FROM n GROUP BY ALL""")
+def tables_validated(spark, sf_dir):
+    """Every table and partition: rows and repeated keys."""
+    return A.validate_tables([("purchases", purchases(spark, sf_dir), ["custkey", "partkey"], ["year"]), ("orders", table(spark, sf_dir, "orders"), ["o_orderkey"], []), ("items", table(spark, sf_dir, "lineitem"), ["l_orderkey"], [])])
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS rows FROM orders GROUP BY ALL")
+def status_counts(spark, sf_dir):
+    return A.group_counts(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT o_custkey, " + ", ".join(f"coalesce(string_agg(CASE WHEN o_orderstatus = '{v}' THEN CAST(o_orderkey AS VARCHAR) END, ',' ORDER BY o_orderkey), '') AS \"{v}_orders\"" for v in "FO") + " FROM orders GROUP BY o_custkey")
+def collect_pivot(spark, sf_dir):
+    rows = A.collect_rows(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], "orders", "o_orderstatus", ["F", "O"])
+    return rows.select("o_custkey", *[F.array_join(F.transform(f"{v}_orders", lambda r: r["o_orderkey"].cast("string")), ",").alias(f"{v}_orders") for v in "FO"])
+
+
+@query("SELECT strftime(d, '%Y-%m-%d') AS day, strftime(d, '%Y-%m') AS month, strftime(d, '%Y') AS year FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events)")
+def times_reformatted(spark, sf_dir):
+    """Calendar values in other formats, for the (few) periods of a table."""
+    days = [r[0] for r in table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd")).distinct().collect()]
+    rows = [(d, *reformat([d], ["%Y-%m-%d"], ["%Y-%m", "%Y"])) for d in days]
+    return spark.createDataFrame(rows, "day string, month string, year string")
+
+
+@query(f"WITH {SQL_EDGES} SELECT {_AS_EDGE} FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY {_md5(f'forward_{BUYS}-hop-0', 'c', 'p', chr(39) + '1999' + chr(39))}) AS k FROM e WHERE p IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size > 30)) WHERE k <= 2")
+def hop_samples(spark, sf_dir):
+    """Sampled after the limit on nodes."""
+    return _endpoints(hop_table(_tokens(spark, sf_dir), HopSpec(BUYS, node_limits=(NodeLimit(1, "attributes__size > 30"),), hop_samples=(Sample("random", (0,), 2),))))
+
+
+@query(f"WITH {SQL_EDGES} SELECT e.c AS {C0}, e.p AS {P1}, y.s AS {S2}, '1999' AS graph_year FROM e LEFT JOIN {_sampled('f', 's', 'p, s', f'forward_{SHIPS}-edge-0', 3)} y ON e.p = y.p")
+def path_left_join(spark, sf_dir):
+    """A hop that keeps instances without a partner."""
+    ships = HopSpec(SHIPS, edge_samples=(Sample("random", (1,), 3),), how="left")
+    return paths.PathPlanner(_tokens(spark, sf_dir)).prefix(PathSpec("cps", (PathStep(HopSpec(BUYS), 0, 1), PathStep(ships, 1, 2)))).select(C0, P1, S2, "graph_year")
+
+
+@query(f"WITH {SQL_EDGES} SELECT e.c AS {C0}, e.p AS {P1}, f.s AS {S2}, '1999' AS graph_year FROM e JOIN f ON e.p = f.p WHERE f.s IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey < 5)")
+def targets_at_the_end(spark, sf_dir):
+    """Targets on the path's last node; the last hop is cut to them before it is joined."""
+    ends = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").cast("string").alias("s"), F.lit("1999").alias("graph_year"))
+    return paths.PathPlanner(_tokens(spark, sf_dir), ends, target_position=2).prefix(_cps(None)).select(C0, P1, S2, "graph_year")
+
+
+@query(f"SELECT * FROM ({ORACLE_SQL['match_metrics_one_end']}) ORDER BY matched_distinct_edge_count DESC, path LIMIT 2")
+def top_paths(spark, sf_dir):
+    """The two best path types."""
+    return paths.rank_paths(match_metrics_one_end(spark, sf_dir), top=2)
+
+
+_CUSTOMER_CAPS = f"WITH {SQL_EDGES}, {SQL_COLLECT}"
+
+
+def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _collection(spark, sf_dir)
+    return collect.instances_of(collect.collect(c, 6), c)
+
+
+@query(f"{_CUSTOMER_CAPS} SELECT DISTINCT 'Customer' AS node_type, custkey AS node_id FROM caps UNION SELECT 'Part', p FROM caps UNION SELECT 'Supplier', s FROM caps")
+def export_nodes(spark, sf_dir):
+    """Nodes of the sub-graph that collected instances span."""
+    return dataset.instance_nodes(_collected(spark, sf_dir), [("Customer", "custkey"), ("Part", P1), ("Supplier", S2)])
+
+
+@query(f"{_CUSTOMER_CAPS} SELECT DISTINCT '{BUYS}' AS edge_type, custkey AS head, p AS tail, '1999' AS graph_year FROM caps UNION SELECT '{SHIPS}', p, s, '1999' FROM caps")
+def export_edges(spark, sf_dir):
+    """Its edges, by type."""
+    return dataset.instance_edges(_collected(spark, sf_dir), [(BUYS, "custkey", P1), (SHIPS, P1, S2)], ["graph_year"])
+
+
+@query(f"{_CUSTOMER_CAPS} SELECT custkey, 0 AS path, CAST(row_number() OVER (PARTITION BY custkey ORDER BY p, s) - 1 AS INT) AS instance, '2,3,4,0' AS types, custkey || '|' || p || ',' || p || ',' || p || '|' || s || ',' AS tokens FROM caps")
+def token_sequences(spark, sf_dir):
+    """Collected instances as padded sequences of type numbers, with the tokens' identifiers."""
+    offsets = dataset.token_offsets({"paths": {"cps": [["edge", BUYS, 0], ["node", "Part", 1], ["edge", SHIPS, 1]]}})
+    out = dataset.encode_instances(_collected(spark, sf_dir), ["custkey"], 0, [("edge", BUYS, f"custkey|{P1}"), ("node", "Part", P1), ("edge", SHIPS, f"{P1}|{S2}")], offsets, 4)
+    return out.select("custkey", "path", "instance", F.array_join(F.transform("types", lambda t: t.cast("string")), ",").alias("types"), F.array_join("tokens", ",", "").alias("tokens"))
+
+
+@query("""WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, strftime(o_orderdate, '%Y') AS year, c_name AS org, CAST(o_custkey AS VARCHAR) AS author FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT author AS author_id, org, year, count(*) AS author_paper_count FROM r GROUP BY ALL""")
+def publication_records(spark, sf_dir):
+    """Nested records written as JSON lines, read with the declared schema and normalised (orders stand for papers, customers for authors)."""
+    met = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    person = F.struct(F.col("o_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_name").alias("org"))
+    path = _folder(spark, "records")
+    met.select(F.col("o_orderkey").cast("string").alias("id"), F.date_format("o_orderdate", "yyyy").alias("year"), F.array(person).alias("authors")).write.json(path)
+    return publication_tables(read_records(spark, path))["author_to_org"]
