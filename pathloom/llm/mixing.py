@@ -8,9 +8,10 @@ Budgets nest: a larger budget takes the same documents and more.
 
 Defined results: null text has no words; a null source is one source, last in
 order; documents without words are taken zero words; a source without words has
-target 0; repeated rows share the hash of their identifier and text size, and are
-taken or left together; an empty table gives an empty result; other columns are
-not read.
+target 0; the hash is of the identifier alone, so rows of one identifier are taken
+or left together; a row without identifier has the hash of its text, so equal texts
+without identifier go together (null as the empty text) and others apart; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ HEX_DIGITS = 15
 MAX_SOURCES = 100_000
 
 
-def hash60(doc_id: Column, salt: str) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, HEX_DIGITS), 16, 10).cast("long")
+def hash60(doc_id: Column, text: Column, salt: str) -> Column:
+    of = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text|"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{salt}|"), of)), 1, HEX_DIGITS), 16, 10).cast("long")
 
 
 def targets(sizes: dict[str | None, int], weights: list[float], share: float, limit: float) -> dict[str | None, float]:
@@ -105,7 +107,8 @@ def mix_sources(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ).withColumn("hash", hash60(F.col("doc_id"), salt)),
+            hash60(F.col(id_col).cast("long"), F.col(text_col), salt).alias("hash"),
+        ),
         "sizes",
     )
     totals = {r["source"]: r["words"] for r in sized.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()}

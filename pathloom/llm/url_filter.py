@@ -14,7 +14,7 @@ plan; the list may have MAX_LISTED keys, which is checked.
 
 Defined results: a null url or one without ``://`` has empty host and path and
 meets no rule; host is lower-cased in A-Z only; of rules that fit, the longest
-``host + path`` wins, then the longer host; without a fitting rule the url is
+``host + path`` wins, then the longer host; a key listed with both verdicts blocks; without a fitting rule the url is
 in no list and gets ``default``; repeated rows give repeated results; an empty
 table gives an empty result; other columns are not read.
 """

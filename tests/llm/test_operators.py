@@ -425,6 +425,17 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix_sources(empty, [1]).count() == 0
 
 
+def test_mixing_rows_without_identifier(spark):
+    """Their hash is that of their text, so the mix can come near its target; repeated identifiers go together."""
+    rows = [(None, words(10, i), "a") for i in range(300)] + [(7, words(20, 1), "b"), (7, words(20, 2), "b")] + [(i, words(10, i), "b") for i in range(100, 130)]
+    docs = spark.createDataFrame([(*r, "h", 3) for r in rows], "doc_id long, text string, source string, hash string, size int").repartition(3)
+    got = mixing.mix_sources(docs, [1, 1], 0.8, 2.0).collect()
+    for source, most in (("a", 10), ("b", 40)):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= most
+    assert len({r["copies"] for r in got if r["doc_id"] == 7}) == 1
+
+
 # --- classifiers -----------------------------------------------------------------
 
 
