@@ -453,6 +453,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: int, settle: float) ->
 def score_texts(docs: DataFrame, held_out: Column, rounds: int = 10, settle: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row scored: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). ``held_out``: rows not learned from."""
     spark = docs.sparkSession
+    kernel.one_thread(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     learned = own.where("NOT held_out")
     counts = scratch.materialise(count_words(learned), "words")

@@ -13,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text worked on at a time; a longer document is worked on alone.
 CHUNK_BYTES = 1 << 20
@@ -23,6 +24,14 @@ _MASK = (1 << 64) - 1
 _INV = pow(_MULT, -1, 1 << 64)
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Matrix products in the Python workers of functions that are made from now on use one thread.
+
+    Spark allows as many threads as an executor has cores to each of its tasks; between small products they spin, which costs the other tasks their cores.
+    """
+    spark.sparkContext.environment["OPENBLAS_NUM_THREADS"] = "1"
+
+
 def _table(seed: int, n: int) -> np.ndarray:
     """n fixed 64-bit values (splitmix64), odd."""
     out, x = np.empty(n, U64), seed & _MASK
