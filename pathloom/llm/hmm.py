@@ -45,7 +45,7 @@ SYMBOLS = TOP + SUFFIX + 1
 END = SYMBOLS - 1
 DICTIONARY = 1 << 18
 #: Symbols of a piece; a sequence of more than LONG is cut; symbols that are worked on at once; steps between scalings.
-PIECE, LONG, AT_ONCE, SCALE = 1024, 4096, 500_000, 16
+PIECE, LONG, AT_ONCE, SCALE = 1024, 4096, 120_000, 16
 SUMS = STATES + STATES**2 + SYMBOLS * STATES
 _LOG10 = np.log(10.0)
 
@@ -189,7 +189,7 @@ def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.nd
     """Sums of starts, moves and emissions over flat[begin : begin + lens], and the log-likelihood.
 
     ``before``: forward values of the symbol before (zeros: the sequence starts here); ``after``: backward values of the last symbol.
-    Values are scaled every SCALE steps; expected counts are normalised by place, so the scale does not matter to them.
+    Values are scaled every SCALE steps, by way of the emissions there; expected counts are normalised by place, so the scale does not matter to them.
     """
     order = np.argsort(-lens, kind="stable")
     begin, lens, before, after = begin[order], lens[order], before[order], after[order]
@@ -197,9 +197,9 @@ def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.nd
     active, offsets = _steps(lens)
     steps, bounds, ones = active.tolist(), offsets.tolist(), np.ones(STATES)
     sym = _by_step(flat, begin, lens, offsets)
-    emitted = model.emit[sym]
+    emitted = np.take(model.emit, sym, axis=0)
     alpha, beta = np.empty_like(emitted), np.empty_like(emitted)
-    total, scaled = np.zeros(len(lens)), np.ones(len(sym))
+    total = np.zeros(len(lens))
     a = np.where(fresh[:, None], model.start, before @ model.move) * emitted[: steps[0]]
     for t, n in enumerate(steps):
         if t:
@@ -208,7 +208,7 @@ def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.nd
             scale = a @ ones
             a /= scale[:, None]
             total[:n] += np.log(scale)
-            scaled[bounds[t] : bounds[t + 1]] = scale
+            emitted[bounds[t] : bounds[t + 1]] /= scale[:, None]
         alpha[bounds[t] : bounds[t + 1]] = a
     last = offsets[lens - 1] + np.arange(len(lens))
     total += np.log(alpha[last] @ ones)
@@ -224,13 +224,11 @@ def _piece_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.nd
             own /= (own @ ones)[:, None]
         b = own
     n = steps[0]
+    beta /= np.einsum("ij,ij->i", alpha, beta)[:, None]
     gamma = alpha * beta
-    weight = gamma @ ones
-    gamma /= weight[:, None]
-    ahead = emitted * beta
-    ahead /= (weight * scaled)[:, None]  # what a move leads to, by the sum over all moves to that place
+    ahead = np.multiply(emitted, beta, out=emitted)  # what a move leads to, by the sum over all moves to that place
     earlier = np.arange(n, len(sym)) - np.repeat(active[:-1], active[1:])  # the place before, of all but the first
-    move = alpha[earlier].T @ ahead[n:] + before.T @ ahead[:n]
+    move = np.take(alpha, earlier, axis=0).T @ ahead[n:] + before.T @ ahead[:n]
     emit = np.stack([np.bincount(sym, weights=gamma[:, k], minlength=SYMBOLS) for k in range(STATES)], axis=1)
     return np.concatenate([gamma[:n][fresh].sum(axis=0), (move * model.move).ravel(), emit.ravel(), [total.sum()]])
 
@@ -287,6 +285,8 @@ def expected_counts(model: Model, flat: np.ndarray, begin: np.ndarray, lens: np.
             for p in range(n - 1, 0, -1):
                 b = np.exp(logs[k + p] - logs[k + p].max()) * (factor[k + p] @ after[f + p])
                 after[f + p - 1] = b / b.sum()
+    order = np.argsort(-lens, kind="stable")  # alike lengths together: fewer steps that few sequences take
+    begin, lens, before, after = begin[order], lens[order], before[order], after[order]
     out, i, ends = np.zeros(SUMS + 1), 0, np.cumsum(lens)
     while i < len(lens):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_once, side="right")))
