@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.sampling import running_totals
+
 SCALAR = ("count", "mean", "sum", "max", "min", "first")
 VECTOR = ("mean", "sum", "variance", "std", "count", "numNonzeros", "max", "min", "normL2", "normL1")
 
@@ -84,9 +86,24 @@ def top_values(df: DataFrame, col: str, n: int) -> DataFrame:
     return counts.orderBy(F.desc("rows"), F.asc_nulls_first(col)).limit(n).withColumn("distinct_values", F.lit(distinct).cast("long"))
 
 
+def quantiles(df: DataFrame, col: str, bins: int) -> list:
+    """The values of rank ceil(i / bins * rows) for i from 0 to ``bins``, exactly; null values do not count, and without others the list is empty.
+
+    Rows are counted per value, and ranks are running totals of the counts.
+    """
+    per = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    rows = per.agg(F.sum("n").alias("n")).first()["n"]
+    if not rows:
+        return []
+    ranks = [max(1, -(-i * rows // bins)) for i in range(bins + 1)]  # integers, so that no rank is rounded
+    met = F.exists(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (F.col("n_before") < r) & (r <= F.col("n_before") + F.col("n")))
+    found = sorted((r["n_before"], r[col]) for r in running_totals(per, col, ["n"]).where(met).select("n_before", col).collect())
+    return [[v for before, v in found if before < rank][-1] for rank in ranks]
+
+
 def quantile_histogram(df: DataFrame, col: str, bins: int, accuracy: int = 10_000) -> DataFrame:
-    """Rows per quantile bin (bin, lower, upper, rows); bins are half-open but for the last, which has the maximum. One pass for the bounds, one for the counts."""
-    edges = df.agg(F.percentile_approx(col, [i / bins for i in range(bins + 1)], accuracy).alias("q")).first()["q"]
+    """Rows per quantile bin (bin, lower, upper, rows); bins are half-open but for the last, which has the maximum. Bounds are exact quantiles, whatever the ``accuracy`` that callers still give."""
+    edges = quantiles(df, col, bins)
     if not edges:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, rows long")
     edges = sorted({float(e) for e in edges})

@@ -73,6 +73,12 @@ def test_histogram_has_all_rows(spark):
     assert A.quantile_histogram(same.limit(0), "v", 4).count() == 0
 
 
+def test_histogram_bounds_are_exact_at_any_accuracy(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("v"))
+    got = sorted(map(tuple, A.quantile_histogram(df, "v", 10, 10).collect()))
+    assert got == [(i, max(0.0, i * 2000.0 - 1), (i + 1) * 2000.0 - 1, 2000 - (i == 0) + (i == 9)) for i in range(10)]
+
+
 def test_samplers(spark):
     df = spark.createDataFrame([(g, i) for g in range(5) for i in range(g * 3 + 1)], "g int, i int").withColumn("k", F.col("g") * 100 + F.col("i"))
     for kind in ("random", "threshold", "top"):
