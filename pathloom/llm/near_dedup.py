@@ -14,19 +14,17 @@ membership matrices give all exact intersections, so no link is lost to the
 forests and no pair is written but a spanning forest of the links. A cluster
 of more than BLOCK sets (or BLOCK_SHINGLES shingles) is dealt over several tasks
 by a salt; a set outside the cluster's largest component visits those of its
-other tasks that hold a candidate of its, so what is sent grows with the
-candidates.
+other tasks that hold a candidate of its, so the texts that are sent grow with
+the candidates.
 
-A bucket of more than BLOCK sets is cut by its members' further minima: SPLITS
-times into buckets of a longer key, over SPLIT_BANDS bands each, so that a pair
-meets again in one with a probability of 1 - (1 - J**ROWS)**SPLIT_BANDS (0.89 at
-0.85). Only a bucket that is too large even then, whose members share 12 minima
-and are near-copies of each other, is dealt by chance.
+A bucket of more than BLOCK sets loses no pair: all its members are put into one
+cluster, whatever their estimates. Its forests are made of blocks of BLOCK sets
+and only offer links between the cluster's tasks; a set outside the cluster's
+largest component is compared with all members of all its buckets, which are
+dealt over blocks of VISIT_BLOCKS * BLOCK sets that each get every such set.
 
 A set pair at the threshold shares no bucket with a probability of about
-(1 - 0.85**ROWS)**BANDS = 4e-7, and less above it; 4e-6 if all its buckets are
-cut once (each is a band that it shares with probability 0.52 * 0.89), 2e-5 if
-all are cut twice. A cut triples a large bucket's rows, and does no more to them.
+(1 - 0.85**ROWS)**BANDS = 4e-7, and less above it, whatever the buckets' sizes.
 
 Defined results: null and empty texts (or texts without words) have no shingles
 and are linked with nothing; texts of fewer than five words are one shingle;
@@ -39,7 +37,6 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +48,9 @@ from pathloom.llm.components import components
 
 PERMUTATIONS, BITS = 128, 4
 BANDS, ROWS = 20, 4
-#: Cuts of large buckets, and the bands of each: by the minima after those of the bands.
-SPLITS, SPLIT_BANDS = 2, 3
 BLOCK = 1024
+#: Signatures that a visit is compared with at once, in blocks.
+VISIT_BLOCKS = 16
 BLOCK_SHINGLES = 1 << 20
 #: Shingles per product of membership matrices.
 COLUMNS = 1024
@@ -93,10 +90,8 @@ def pack(mins: np.ndarray) -> bytes:
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    """Of the bands, then of the bands of each cut."""
-    n = BANDS + SPLITS * SPLIT_BANDS
-    m = mins[: n * ROWS].reshape(n, ROWS).astype(np.uint64)
-    return kernel.mix((m * kernel.SHINGLE_VALUE[40 : 40 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    m = mins[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    return kernel.mix((m * kernel.SHINGLE_VALUE[40 : 40 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -329,41 +324,63 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _blocks(table: DataFrame) -> DataFrame:
-    """Rows (key, salt, id, sig) of all buckets with two sets or more, in blocks of about BLOCK sets at most."""
-    rows, parts = table.select("id", F.explode(F.slice("bands", 1, BANDS)).alias("key")), []
-    for cut in range(SPLITS + 1):
-        # from files, so that Spark can split a large bucket's partition of the join
-        sizes = scratch.materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bucket-sizes")
-        if cut == SPLITS or sizes.where(F.col("members") > BLOCK).isEmpty():
-            salts = F.ceil(F.col("members") / BLOCK).cast("int")
-            parts.append(rows.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id", "key"), salts).cast("int").alias("salt")))
-            break
-        met = rows.join(sizes, "key")
-        parts.append(met.where(F.col("members") <= BLOCK).select("key", "id", F.lit(0).alias("salt")))
-        further = table.select("id", F.slice("bands", BANDS + cut * SPLIT_BANDS + 1, SPLIT_BANDS).alias("further"))
-        large = met.where(F.col("members") > BLOCK).select("key", "id").join(further, "id")
-        rows = large.select("id", "key", F.explode("further").alias("more")).select("id", F.xxhash64("key", "more").alias("key"))
-    return reduce(DataFrame.unionByName, parts).join(table.select("id", "sig"), "id")
+def _buckets(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id) of all sets, and (key, members, least) of the buckets with two sets or more; ``least`` is the smallest member."""
+    rows = table.select("id", F.explode("bands").alias("key"))
+    # from files, so that Spark can split a large bucket's partition of a join
+    return rows, scratch.materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1"), "bucket-sizes")
+
+
+def _blocks(table: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (key, salt, id, sig) of all buckets with two sets or more, in blocks of about BLOCK sets at most; what they keep apart is joined by ``_whole``."""
+    salts = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = rows.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id", "key"), salts).cast("int").alias("salt"))
+    return dealt.join(table.select("id", "sig"), "id")
+
 
+def _whole(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join all members of each bucket of several blocks."""
+    return rows.join(sizes.where(F.col("members") > BLOCK), "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
 
-def _visits(blocks: DataFrame, placed: DataFrame, least: float) -> DataFrame:
-    """(id, cluster, salt): the other tasks of its cluster that a guest of ``placed`` (id, cluster, home, guest) has a candidate in."""
+
+def _visits(table: DataFrame, rows: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+    """(id, cluster, salt): the other tasks of its cluster that a guest of ``placed`` (id, cluster, home, guest) has a candidate in, of all members of its buckets."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, ids, cluster, home, guest, sig), bounds in _Groups(batches, 6):
+        last, parts = None, []
+        for batch in batches:  # of each block the members, then the guests that ask
+            if not batch.num_rows:
+                continue
+            key, salt, asks, ids, cluster, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            new = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (asks[1:] != asks[:-1])) + 1
             out: list[tuple[int, int, int]] = []
-            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                for g in (np.flatnonzero(guest[i:j]) + i).tolist():
-                    near = (cluster[i:j] == cluster[g]) & (home[i:j] != home[g])
+            for i, j in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                if (key[i], salt[i]) != last:
+                    last, parts = (key[i], salt[i]), []
+                if not asks[i]:
+                    parts.append((cluster[i:j], home[i:j], sig[i:j]))
+                    continue
+                parts = [tuple(map(np.concatenate, zip(*parts, strict=True)))] if len(parts) > 1 else parts
+                if not parts:
+                    continue
+                own, at, other = parts[0]
+                for g in range(i, j):
+                    near = (own == cluster[g]) & (at != home[g])
                     if near.any():
-                        near &= estimate(sig[g], sig[i:j]) >= least
-                        out += [(int(ids[g]), int(cluster[g]), t) for t in np.unique(home[i:j][near]).tolist()]
+                        near &= estimate(sig[g], other) >= least
+                        out += [(int(ids[g]), int(cluster[g]), t) for t in np.unique(at[near]).tolist()]
             a, b, c = np.array(out, np.int64).reshape(-1, 3).T
             yield _batch(["id", "cluster", "salt"], pa.array(a), pa.array(b), pa.array(c.astype(np.int32)))
 
-    rows = blocks.join(placed, "id").select("key", "salt", "id", "cluster", "home", F.col("guest").cast("int").alias("guest"), "sig")
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(find, "id long, cluster long, salt int").distinct()
+    met = rows.join(placed, "id")
+    asked = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("guest").alias("any")).where("members > 1 AND any")
+    salts = F.ceil(F.col("members") / (VISIT_BLOCKS * BLOCK)).cast("int")
+    met = scratch.materialise(met.join(asked.select("key", salts.alias("salts")), "key"), "visit-buckets")
+    here = met.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.col("salts")).cast("int")).withColumn("asks", F.lit(0))
+    there = met.where("guest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("asks", F.lit(1))
+    sent = here.unionByName(there).join(table.select("id", "sig"), "id").select("key", "salt", "asks", "id", "cluster", "home", "sig")
+    return sent.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks").mapInArrow(find, "id long, cluster long, salt int").distinct()
 
 
 def _cluster_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, unique: bool) -> DataFrame:
@@ -401,9 +418,10 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     # a set is known by its number, and has one document for it
     reps = scratch.materialise(keyed.groupBy(*_SET).agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id()), "representatives")
     table, table_path = scratch.write(keyed.join(reps, [*_SET, "doc_id"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "sig", "bands"), "representative-signatures")
-    pairs = scratch.materialise(forest_pairs(_blocks(table), least), "pairs")
+    rows, sizes = _buckets(table)
+    pairs = scratch.materialise(forest_pairs(_blocks(table, rows, sizes), least), "pairs")
 
-    clusters = components(_edges(pairs)).withColumnRenamed("component", "cluster")
+    clusters = components(_edges(pairs.unionByName(_whole(rows, sizes)))).withColumnRenamed("component", "cluster")
     sized = clusters.join(reps.withColumnRenamed("rep", "id"), "id")
     salts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("salts")
     members = scratch.materialise(
@@ -421,7 +439,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         sizes = tagged.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
         placed = tagged.join(largest, "cluster").select("id", "cluster", F.col("salt").alias("home"), (F.col("component") != F.col("largest")).alias("guest"))
-        sent = scratch.materialise(_visits(_blocks(table), scratch.materialise(placed, "placed"), least), "visits")
+        sent = scratch.materialise(_visits(table, rows, scratch.materialise(placed, "placed"), least), "visits")
         guest_sets = sent.join(sets.select("id", "shingles"), "id").select("cluster", "salt", F.lit(True).alias("guest"), "id", "shingles")
         host_sets = sets.join(sent.select("cluster", "salt").distinct(), ["cluster", "salt"], "left_semi")
         links = scratch.materialise(links.unionByName(cluster_links(host_sets.unionByName(guest_sets), percent)), "links")

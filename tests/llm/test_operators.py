@@ -311,6 +311,18 @@ def test_near_dedup_large_buckets(spark, monkeypatch, share):
     assert sum(x.count() for x in sent) < len(rows) * (blocks - 1)
 
 
+def test_near_dedup_large_bucket_loses_no_pair(spark, monkeypatch):
+    """All links of sets that meet in one bucket only, which has many blocks and several visit blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    one = F.concat(F.array(F.lit(5).cast("long")), F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: F.xxhash64("doc_id", k)))
+    signatures = near_dedup.signatures
+    monkeypatch.setattr(near_dedup, "signatures", lambda *a: signatures(*a).withColumn("bands", one))
+    rows = boilerplate(30, 0.75, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(docs).collect()}
+    assert got == brute_components(rows, 85)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7)] + [(1000, k) for k in range(1001, 1050)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
