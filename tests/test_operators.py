@@ -275,3 +275,12 @@ def test_shards_and_batches(spark):
     assert [len(b) for b in dataset.batches(df, ["k"], 30, 2)] == [30, 30, 30, 10] and list(dataset.batches(df, ["k"], 30, 2))[0] != got[0]
     with pytest.raises(ValueError):
         dataset.shard(df, ["k"], 3, 3)
+
+
+def test_counts_of_a_collection_move_no_instances(spark):
+    df = spark.createDataFrame([("a", str(i)) for i in range(5)] + [("b", "1"), ("b", "1"), (None, "2")], "h string, t string")
+    c = collect.Collection("p", df, ("h",), ("head",), ("t",))
+    want = collect.collect(c, 3).select("head", "p_collect_count")
+    got = collect.collect_counts(c, 3)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
