@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.commerce import BUYS, SHIPS, commerce_graph
 from pathloom.functions import columns as C
 from pathloom.functions.timeutil import TimeWindow, WindowGroup
+from pathloom.naming import feature_col
 from pathloom.operators import aggregate as A
 from pathloom.operators import features as V
 from pathloom.operators import metrics as M
@@ -18,7 +20,7 @@ from pathloom.operators import sampling as W
 from pathloom.plans import collect, dataset, pairs, paths, tokens
 from pathloom.plans.hops import Tokens
 from pathloom.sources import publications, tables
-from pathloom.spec import EdgeType, GraphSpec, HopSpec, NodeType, TableSpec, linear_path
+from pathloom.spec import EdgeType, GraphSpec, HopSpec, NodeType, PathSpec, PathStep, Sample, TableSpec, linear_path
 from pathloom.streaming import incremental
 
 
@@ -284,3 +286,39 @@ def test_counts_of_a_collection_move_no_instances(spark):
     got = collect.collect_counts(c, 3)
     assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _two_edges(spark, buys):
+    graph = commerce_graph("unused")
+    ships = spark.createDataFrame([("p,1", f"s {i}%2C", "1999", (1.0,)) for i in range(7)] + [("p2", "s,1", "1999", (1.0,))], "a string, b string, graph_year string, f struct<x: double>")
+    named = lambda df, edge: df.toDF(*graph.edge_cols(edge, 0), *graph.edge_cols(edge, 1), "graph_year", feature_col(edge))
+    return Tokens(spark, graph, [("1999",)], {("edge", BUYS): named(buys, BUYS), ("edge", SHIPS): named(ships, SHIPS)})
+
+
+def test_sampled_instances_move_as_lists(spark, monkeypatch):
+    """Also of nodes with more neighbours than a list holds, and of names with commas; instances are not shuffled."""
+    monkeypatch.setattr(paths, "PACKED", 3)
+    buys = spark.createDataFrame([(c, p, "1999", (1.0,)) for c in ("c1", "c2", "") for p in ("p,1", "p2", "p3")], "a string, b string, graph_year string, f struct<x: double>")
+    steps = lambda n: (PathStep(HopSpec(BUYS), 0, 1), PathStep(HopSpec(SHIPS), 1, 2, None, (Sample("random", (0, 2), n),) if n else ()))
+    of = lambda n: paths.PathPlanner(_two_edges(spark, buys)).prefix(PathSpec("cps", steps(n)))
+    plain, all_ = of(0), of(100)
+    assert sorted(all_.select(plain.columns).collect()) == sorted(plain.collect()) and plain.count() == 24
+    assert of(1).count() == 24
+    plan = _plan(all_)
+    assert plan.index("Generate") < plan.index("Exchange")
+
+
+def test_edge_rows_move_once(spark):
+    """One shuffle for cleaning and windows of an edge table, without rows outside of the windows."""
+    rows = spark.createDataFrame([("a", "b", "1999", 3.0), ("a", "b", "1999", 2.0), ("a", "b", "1998", 5.0), ("a", "b", "1980", 7.0), ("a", "c", "2001", 1.0)], "u string, v string, year string, q double")
+    spec = TableSpec("t", (("u",), ("v",)), lambda _: rows, ("q",), time_cols=("year",), time_formats=("%Y",), groups=(WindowGroup(("count_*", "sum"), (TimeWindow(-1, 2, "year"),)),))
+    edge = EdgeType(BUYS, ("Customer", "Part"), (spec,))
+    nodes = {n: NodeType(n, (f"{n}_Node",), ()) for n in ("Customer", "Part")}
+    df = tokens.token_table(spark, GraphSpec(("graph_year",), ("%Y",), nodes, {BUYS: edge}), "edge", BUYS, [("1999",)])
+    plan = _plan(df)
+    assert plan.count("Exchange hashpartitioning") == 1 and "year#" in plan[plan.rindex("IN (") - 40 :]
+    assert [(*r[:3], r[3][0], r[3][1]) for r in df.collect()] == [("a", "b", "1999", 2.0, 7.0)]
