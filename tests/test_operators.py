@@ -322,3 +322,22 @@ def test_edge_rows_move_once(spark):
     plan = _plan(df)
     assert plan.count("Exchange hashpartitioning") == 1 and "year#" in plan[plan.rindex("IN (") - 40 :]
     assert [(*r[:3], r[3][0], r[3][1]) for r in df.collect()] == [("a", "b", "1999", 2.0, 7.0)]
+
+
+def test_label_pairs_moves_candidates_once(spark, monkeypatch):
+    """The joins with known pairs and with labels share one shuffle of the candidates; a label holds at its own time only."""
+    plans = {}
+    monkeypatch.setattr(pairs, "written", lambda df, label: plans.setdefault(label, _plan(df)) and df)
+    cand = spark.createDataFrame([("a", "b", "1999"), ("a", "b", "1998"), ("a", "c", "1999"), ("d", "b", "1999"), ("d", "e", "1999")], "h string, t string, y string")
+    labels = spark.createDataFrame([("a", "b", "1999", "train")], "h string, t string, y string, sample_type string")
+    known = spark.createDataFrame([("d", "e")], "h string, t string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pairs.label_pairs(cand, labels, ["h"], ["t"], ["y"], [known], infer=False)
+        got = sorted(map(tuple, out.collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [("a", "b", "1999", "train", 1), ("a", "c", "1999", "train", 0), ("d", "b", "1999", "train", 0)]
+    assert plans["candidates"].count("Exchange hashpartitioning(h") + plans["candidates"].count("Exchange hashpartitioning(_h") == 4
