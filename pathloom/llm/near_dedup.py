@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import kernel, scratch
 from pathloom.llm.components import components
+from pathloom.llm.decontaminate import may_be_in
 
 PERMUTATIONS, BITS = 128, 4
 BANDS, ROWS = 20, 4
@@ -57,6 +58,8 @@ COLUMNS = 1024
 #: Estimates this far below the threshold are still candidates (4.7 standard deviations at 0.85).
 MARGIN = 0.15
 WORDS_PER_SHINGLE = 5
+#: Size of the filters by which rows that meet nothing stay where they are.
+FILTER_BYTES = 16 << 20
 _XOR = kernel._table(101, PERMUTATIONS).astype(np.uint32)
 _MUL = (kernel._table(103, PERMUTATIONS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ONES = np.uint64(0x1111111111111111)
@@ -324,26 +327,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_b.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def _buckets(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, id) of all sets, and (key, members, least) of the buckets with two sets or more; ``least`` is the smallest member."""
+def _buckets(table: DataFrame) -> DataFrame:
+    """(key, id, members, least) of all sets in buckets with two sets or more; ``least`` is the smallest member."""
     rows = table.select("id", F.explode("bands").alias("key"))
     # from files, so that Spark can split a large bucket's partition of a join
-    return rows, scratch.materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1"), "bucket-sizes")
+    sizes = scratch.materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("least")).where("members > 1"), "bucket-sizes")
+    # most sets are alone in most of their buckets, and do not move again
+    met = may_be_in(rows.withColumn("k1", F.col("key")), sizes.withColumn("k1", F.col("key")), FILTER_BYTES).select("key", "id")
+    return scratch.materialise(met.join(sizes, "key").select("key", "id", "members", "least"), "buckets")
 
 
-def _blocks(table: DataFrame, rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _blocks(table: DataFrame, buckets: DataFrame) -> DataFrame:
     """Rows (key, salt, id, sig) of all buckets with two sets or more, in blocks of about BLOCK sets at most; what they keep apart is joined by ``_whole``."""
     salts = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rows.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id", "key"), salts).cast("int").alias("salt"))
+    dealt = buckets.select("key", "id", F.pmod(F.xxhash64("id", "key"), salts).cast("int").alias("salt"))
     return dealt.join(table.select("id", "sig"), "id")
 
 
-def _whole(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _whole(buckets: DataFrame) -> DataFrame:
     """Pairs (a, b) that join all members of each bucket of several blocks."""
-    return rows.join(sizes.where(F.col("members") > BLOCK), "key").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    return buckets.where(F.col("members") > BLOCK).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def _visits(table: DataFrame, rows: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+def _visits(table: DataFrame, placed: DataFrame, least: float) -> DataFrame:
     """(id, cluster, salt): the other tasks of its cluster that a guest of ``placed`` (id, cluster, home, guest) has a candidate in, of all members of its buckets."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,7 +379,7 @@ def _visits(table: DataFrame, rows: DataFrame, placed: DataFrame, least: float)
             a, b, c = np.array(out, np.int64).reshape(-1, 3).T
             yield _batch(["id", "cluster", "salt"], pa.array(a), pa.array(b), pa.array(c.astype(np.int32)))
 
-    met = rows.join(placed, "id")
+    met = table.select("id", "bands").join(placed, "id").select("id", "cluster", "home", "guest", F.explode("bands").alias("key"))
     asked = met.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("guest").alias("any")).where("members > 1 AND any")
     salts = F.ceil(F.col("members") / (VISIT_BLOCKS * BLOCK)).cast("int")
     met = scratch.materialise(met.join(asked.select("key", salts.alias("salts")), "key"), "visit-buckets")
@@ -397,7 +403,9 @@ def _cluster_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: st
                 yield _batch(["cluster", "salt", "guest", "id", "shingles"], cluster, salt, pa.array(np.zeros(len(at), bool)), ids, pa.array([s.tobytes() for s, ok in zip(found, own.tolist(), strict=True) if ok], pa.binary()))
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    met = own.join(members, "doc_id")
+    number = F.xxhash64("doc_id").alias("k1")
+    # texts of no cluster stay where they are
+    met = may_be_in(own.select("*", number), members.select(number), FILTER_BYTES).drop("k1").join(members, "doc_id")
     if not unique:  # of one identifier's rows, one of each text
         met = met.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "id", "h"])
     return met.select("cluster", "salt", "id", "n", "key1", "key2", "text").mapInArrow(cut, _SETS)
@@ -416,12 +424,14 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     repeated = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     unique = repeated.isEmpty()
     # a set is known by its number, and has one document for it
-    reps = scratch.materialise(keyed.groupBy(*_SET).agg(F.min("doc_id").alias("doc_id")).withColumn("rep", F.monotonically_increasing_id()), "representatives")
-    table, table_path = scratch.write(keyed.join(reps, [*_SET, "doc_id"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "sig", "bands"), "representative-signatures")
-    rows, sizes = _buckets(table)
-    pairs = scratch.materialise(forest_pairs(_blocks(table, rows, sizes), least), "pairs")
-
-    clusters = components(_edges(pairs.unionByName(_whole(rows, sizes)))).withColumnRenamed("component", "cluster")
+    one = [F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")]  # equal sets have equal signatures
+    signed_reps, table_path = scratch.write(keyed.groupBy(*_SET).agg(*one).withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    reps = scratch.materialise(signed_reps.select(*_SET, "doc_id", "rep"), "representative-numbers")
+    table = signed_reps.select(F.col("rep").alias("id"), "sig", "bands")
+    buckets = _buckets(table)
+    pairs = scratch.materialise(forest_pairs(_blocks(table, buckets), least), "pairs")
+
+    clusters = components(_edges(pairs.unionByName(_whole(buckets)))).withColumnRenamed("component", "cluster")
     sized = clusters.join(reps.withColumnRenamed("rep", "id"), "id")
     salts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("salts")
     members = scratch.materialise(
@@ -439,7 +449,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         sizes = tagged.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
         placed = tagged.join(largest, "cluster").select("id", "cluster", F.col("salt").alias("home"), (F.col("component") != F.col("largest")).alias("guest"))
-        sent = scratch.materialise(_visits(table, rows, scratch.materialise(placed, "placed"), least), "visits")
+        sent = scratch.materialise(_visits(table, scratch.materialise(placed, "placed"), least), "visits")
         guest_sets = sent.join(sets.select("id", "shingles"), "id").select("cluster", "salt", F.lit(True).alias("guest"), "id", "shingles")
         host_sets = sets.join(sent.select("cluster", "salt").distinct(), ["cluster", "salt"], "left_semi")
         links = scratch.materialise(links.unionByName(cluster_links(host_sets.unionByName(guest_sets), percent)), "links")

@@ -323,6 +323,31 @@ def test_near_dedup_large_bucket_loses_no_pair(spark, monkeypatch):
     assert got == brute_components(rows, 85)
 
 
+def shuffled(spark) -> int:
+    """Bytes of shuffle written by the session so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_near_dedup_moves_no_text_of_no_cluster(spark):
+    """Nor any band key that no other set has for a second time."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(600))) for i in range(400)]
+    rows += [(1000, rows[0][1] + " more"), (1001, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    docs.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(docs).collect()}
+        assert shuffled(spark) - before < sum(len(t) for _, t in rows) / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {i: (596 + (i == 1000), i % 1000, i < 1000) for i, _ in rows}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7)] + [(1000, k) for k in range(1001, 1050)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
