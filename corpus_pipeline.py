@@ -25,6 +25,8 @@ MIX_WEIGHTS = [5, 2, 1]
 NEAR_PERCENT = 80
 #: Column of the row numbers inside of a stage.
 NUMBER = "_row_number"
+#: Size of the filter of the rows that a stage drops.
+FILTER_BYTES = 16 << 20
 #: SQL can express neither the network nor its decisions; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
@@ -42,10 +44,17 @@ def _numbered(docs: DataFrame, label: str) -> DataFrame:
 def _one_of_each(docs: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
     """Of each group (number, group) of numbered rows, the one with the largest or smallest doc_id."""
     ids = docs.select(F.col(NUMBER).alias("number"), F.col("doc_id").cast("long").alias("id"))
+    known = scratch.materialise(groups.join(ids, "number"), "groups")
     order = F.struct("id", -F.col("number")) if largest else F.struct(F.col("id").isNull(), "id", "number")
     pick = F.max_by if largest else F.min_by
-    chosen = groups.join(ids, "number").groupBy("group").agg(pick("number", order).alias("_chosen")).select("_chosen")
-    return docs.join(chosen, docs[NUMBER] == chosen["_chosen"], "left_semi").drop(NUMBER)
+    chosen = known.groupBy("group").agg(pick("number", order).alias("number")).select("number")
+    gone = scratch.materialise(known.join(chosen, "number", "left_anti").select("number"), "gone")
+    # most rows stay: those that the filter of the others does not hold do not move
+    rows = docs.select(F.xxhash64(NUMBER).alias("k1"), F.col(NUMBER).alias("number"), F.struct(*[docs[c] for c in docs.columns if c != NUMBER]).alias("row"))
+    keys = gone.select(F.xxhash64("number").alias("k1"))
+    kept = decontaminate.may_be_in(rows, keys, FILTER_BYTES, inside=False).select("row")
+    asked = decontaminate.may_be_in(rows, keys, FILTER_BYTES).join(gone, "number", "left_anti").select("row")
+    return kept.unionByName(asked).select("row.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from pathloom.llm import scratch
-from tests.llm.test_operators import UPPER, labelled, shingles, words
+from tests.llm.test_operators import UPPER, labelled, shingles, shuffled, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string"
 
@@ -84,3 +84,23 @@ def test_empty_documents(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, tables[0])
         assert docs.count() == 0
+
+
+def test_rows_that_stay_do_not_move(spark):
+    """Of the rows of a deduplication stage only those that may go are shuffled; one of each group stays, whatever its identifier."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(300)), "k") for i in range(400)]
+    rows += [(1000, rows[0][1], "k"), (None, rows[1][1], "k"), (2, rows[2][1], "k"), (None, "a", "k"), (None, "a", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string").repartition(4).persist()
+    docs.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        out = corpus_pipeline.drop_exact_copies(spark, docs, "")
+        got = sorted(((r["doc_id"], r["k1"]) for r in out.collect()), key=str)
+        assert shuffled(spark) - before < sum(len(r[1]) for r in rows) / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert out.columns == docs.columns
+    assert got == sorted([(i, "k") for i in [*range(1, 400), 1000, None]], key=str)
