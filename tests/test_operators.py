@@ -174,6 +174,29 @@ def test_unreached_path_has_zero_metrics(spark, small_graph):
     assert rows and all(tuple(r)[1:] == (0, 0, 0.0, 0, 0, 0.0) for r in rows)
 
 
+def test_search_from_heads_moves_no_pairs(spark, small_graph, monkeypatch):
+    """Composite identifiers, several graph times and blocks of heads; no shuffle by head and tail beyond one hop, and the metrics are those of the instances."""
+    monkeypatch.setattr(paths, "MASKED", 2, raising=False)
+    monkeypatch.setattr(paths, "PACKED", 2)
+    tk = Tokens(spark, small_graph, [("1999",), ("2000",)])
+    hops = paths.one_hops(small_graph, None)
+    links = [(f"a{i}", f"b{i % 2}", f"c{j}", y) for i in range(6) for j in range(3) for y in ("1999", "2000") if (i + j) % 2]
+    known = spark.createDataFrame(links, "a string, b string, c string, graph_year string")
+    found = paths.find_paths(tk, known, hops, "A", "C", 4, n=None, both_ends=False)
+    for line in _plan(found).splitlines():
+        assert "Exchange hashpartitioning" not in line or not ("Node_0_" in line and any(f"Node_{k}_C_" in line for k in range(2, 5)))
+    got = {r["path"]: tuple(r)[1:] for r in found.collect()}
+    heads = known.select("a", "b", "graph_year").distinct()
+    want = {}
+    for ps in paths.path_types(small_graph, hops, "A", "C", 4).values():
+        for p in ps:
+            a, b = paths.pair_cols(p, small_graph)
+            named = known.toDF(*a, *b, "graph_year")
+            instances = paths.PathPlanner(tk, heads).prefix(p)
+            want[p.name] = tuple(paths.match_metrics(instances, named, [*a, *b, "graph_year"], p.name).first())[1:]
+    assert got == want and any(w[3] > w[4] > 0 for w in want.values())
+
+
 def test_static_and_missing_slots(spark, small_graph):
     df = tokens.token_table(spark, small_graph, "node", "A", [("1999",)])
     assert df.columns == ["node_A_col_0", "node_A_col_1", "graph_year", "A_feat_col"]
