@@ -41,8 +41,8 @@ from pathloom.llm import kernel, scratch
 
 GRAM = 24
 SEGMENTS = 4096
-#: Bytes of segments in one transform, besides the last anchor's.
-BLOCK_BYTES = 1 << 20
+#: Bytes of segments in one transform, besides the last anchor's; and of texts that are cut into segments at once: what fits a core's cache.
+BLOCK_BYTES = CUT_BYTES = 1 << 18
 SEPARATOR = 0xFF  # in no UTF-8 text
 _U32 = np.uint64(0xFFFFFFFF)
 
@@ -97,21 +97,45 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return row, lo - offsets[row], count, grams[at], whole
 
 
+def _sorted(key: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys below n * n in their order, and their ``at`` (below n)."""
+    bits = int(n).bit_length()
+    if 3 * bits > 64:
+        order = np.argsort(key)
+        return key[order], at[order]
+    packed = (key << np.uint64(bits)) | at.astype(np.uint64)  # sorting values is several times as fast as sorting places
+    packed.sort()
+    return packed >> np.uint64(bits), (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of a circular text in the order of the strings of ``depth`` bytes or more from there."""
+    """Places of a circular text in the order of the strings of ``depth`` bytes or more from there.
+
+    Prefix doubling; a place whose string differs from all others has its final rank and is not sorted again.
+    """
     n = len(text)
-    around = np.concatenate([text, np.resize(text, 8)])
-    key = np.ndarray((n,), ">u8", around, 0, (1,)).astype(np.uint64)
-    have = 8
+    used = np.zeros(256, bool)
+    used[text] = True
+    width = max(1, int(used.sum() - 1).bit_length())
+    have = max(1, min(8, 2 * (int(n).bit_length() - 1) // width))
+    code = (np.cumsum(used) - 1)[text].astype(np.uint64)
+    around = np.concatenate([code, np.resize(code, have)])
+    key = np.zeros(n, np.uint64)
+    for k in range(have):
+        key = (key << np.uint64(width)) | around[k : k + n]
+    at = slots = np.arange(n)
+    sa, rank = np.empty(n, np.int64), np.empty(n, np.int64)
     while True:
-        sa = np.argsort(key, kind="stable")
-        own = key[sa]
-        new = np.concatenate([[False], own[1:] != own[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(new)
-        if have >= depth or rank[sa[-1]] == n - 1:
+        key, at = _sorted(key, at, n)
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(new)
+        sa[slots] = at
+        rank[at] = np.repeat(slots[first], np.diff(np.append(first, len(at))))
+        tied = ~(new & np.append(new[1:], True))
+        slots, at = slots[tied], at[tied]
+        if have >= depth or not len(at):
             return sa
-        key = (rank * n + np.roll(rank, -(have % n))).astype(np.uint64)
+        key = (rank[at] * n + rank[(at + have) % n]).astype(np.uint64)
         have *= 2
 
 
@@ -126,15 +150,15 @@ def prefix_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     sa = suffix_order(text, length + 1)
     bwt = text[sa - 1]
     by_byte = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)
+    step = np.empty(n, np.int32)
     step[by_byte] = np.arange(n)
     same = bwt[by_byte][1:] == bwt[by_byte][:-1]
-    before, after = np.full(n, -1, np.int64), np.full(n, n, np.int64)
+    before, after = np.full(n, -1, np.int32), np.full(n, n, np.int32)
     before[by_byte[1:][same]] = by_byte[:-1][same]
     after[by_byte[:-1][same]] = by_byte[1:][same]
     bound = np.zeros(n + 1, bool)
     bound[[0, n]] = True
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(length):
         if not len(lo):
             break
@@ -142,11 +166,12 @@ def prefix_classes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
         alone = size == 1
         i1 = step[lo[alone]]
         lo, hi, size = lo[~alone], hi[~alone], size[~alone]
-        owner = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[owner]
-        first, last = before[at] < lo[owner], after[at] >= hi[owner]
-        i2 = np.sort(owner[first] * n + step[at[first]]) % n  # by interval, then by byte
-        j2 = np.sort(owner[last] * n + step[at[last]]) % n
+        end = np.cumsum(size, dtype=np.int32)
+        at = np.arange(size.sum(), dtype=np.int32) + np.repeat(lo - (end - size), size)
+        first, last = np.flatnonzero(before[at] < np.repeat(lo, size)), np.flatnonzero(after[at] >= np.repeat(hi, size))
+        # by interval, then by byte
+        i2 = (np.sort(np.searchsorted(end, first, side="right") * n + step[at[first]]) % n).astype(np.int32)
+        j2 = (np.sort(np.searchsorted(end, last, side="right") * n + step[at[last]]) % n).astype(np.int32)
         lo, hi = np.concatenate([i1, i2]), np.concatenate([i1, j2]) + 1
         fresh = ~bound[hi]
         lo, hi = lo[fresh], hi[fresh]
@@ -195,7 +220,7 @@ def find_segments(own: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for i, j, data, offsets in kernel.text_chunks(batch.column(2)):
+            for i, j, data, offsets in kernel.text_chunks(batch.column(2), CUT_BYTES):
                 row, start, count, anchor, whole = segments(data, offsets, length)
                 yield _batch(_SEGMENT, ids[i:j][row], hashes[i:j][row], start.astype(np.int32), count.astype(np.int32), kernel.signed(anchor), kernel.signed(whole))
 

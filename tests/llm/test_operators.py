@@ -114,6 +114,24 @@ def test_prefix_classes_match_sorting():
         assert [bool(b) for b in bound] == [True, *(a != b for a, b in zip(strings, strings[1:], strict=False))]
 
 
+def test_suffix_order_sorts_ties_only(monkeypatch):
+    """Places that differ from all others are sorted once; orders are right with packed keys and without."""
+    rng, plain, counted = np.random.default_rng(4), substring_dedup._sorted, []
+    monkeypatch.setattr(substring_dedup, "_sorted", lambda key, at, n: counted.append(len(at)) or plain(key, at, n))
+    text = rng.integers(0, 250, 4000).astype(np.uint8)
+    text[3000:3200], text[-1] = text[:200], 255
+    sa = substring_dedup.suffix_order(text, 101)
+    assert counted[0] == 4000 and len(counted) > 3 and counted[1] < 1000 and max(counted[2:]) <= 450
+    s = bytes(text) * 2
+    assert [s[p : p + 101] for p in sa.tolist()] == sorted(s[p : p + 101] for p in range(4000))
+    for n in (1, 2, 5, 300, (1 << 21) + 9):
+        text = rng.integers(97, 99, n).astype(np.uint8)
+        text[-1] = 255
+        s, sa = bytes(text) * (2 + 40 // n), substring_dedup.suffix_order(text, 40)
+        strings = [s[p : p + 40] for p in sa[:5000].tolist()]
+        assert strings == sorted(strings) and (np.sort(sa) == np.arange(n)).all()
+
+
 # --- WARC ----------------------------------------------------------------------
 
 
@@ -852,6 +870,19 @@ def test_pieces_do_not_change_the_counts():
         assert math.isclose(got[-1], sum(brute_forward_scaled(m, flat[b : b + n]) for b, n in zip(begin, lens, strict=True)))
 
 
+def test_sums_come_in_one_job(spark):
+    """Vectors of many partitions are added in a number of jobs that does not grow with the partitions."""
+    sums = {i: np.random.default_rng(i).random(hmm.SUMS + 1) for i in range(40)}
+    rows = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in sums.items()], "slot int, sums binary").repartition(40)
+    spark.sparkContext.setJobGroup("sums", "sums")
+    try:
+        got = hmm._add_up(rows, 32)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sums")) <= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.allclose(got, sum(sums.values()))
+
+
 def test_hmm_scores_by_brute_force(spark):
     """Vocabulary, rounds and scores from the words themselves; and the same scores however the rows are partitioned."""
     rng = random.Random(6)
