@@ -396,7 +396,10 @@ def _sequences(batch: pa.RecordBatch, column: int, limit: int = 1_000_000) -> It
 
 
 def _add_up(rows: DataFrame, slots: int) -> np.ndarray:
-    """Sum of the vectors in (slot, sums), added in rounds and in the order of their slots, so that no task or driver holds many."""
+    """Sum of the vectors in (slot, sums), added in rounds and in the order of their slots, so that no task or driver holds many.
+
+    The last round's vectors, 32 at most, come in one job: one for each partition, empty ones too, would take longer than the round.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -411,7 +414,7 @@ def _add_up(rows: DataFrame, slots: int) -> np.ndarray:
         rows = dealt.select(F.col("own").alias("slot"), "sums").mapInArrow(add, "slot int, sums binary")
         slots = slots // 32 if slots > 32 else 1
     out = np.zeros(SUMS + 1)
-    for _, raw in sorted((r["slot"], r["sums"]) for r in rows.toLocalIterator()):
+    for _, raw in sorted((r["slot"], r["sums"]) for r in rows.collect()):
         out = out + np.frombuffer(raw)
     return out
 
