@@ -132,6 +132,29 @@ def test_suffix_order_sorts_ties_only(monkeypatch):
         assert strings == sorted(strings) and (np.sort(sa) == np.arange(n)).all()
 
 
+@pytest.mark.parametrize("small", [0, 1 << 16])
+def test_components_of_small_and_large_tables(spark, small):
+    """A small edge table takes a few jobs, not several rounds of them; both ways have the same result."""
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(-5, 7), (7, 7), (1 << 40, 7)] + [(rng.randint(1000, 1300), rng.randint(1000, 1300)) for _ in range(120)]
+    want = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in pairs:
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    spark.sparkContext.setJobGroup(f"components-{small}", "components")
+    try:
+        found = components.components(edges, small=small)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{small}"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = [(r["id"], r["component"]) for r in found.collect()]
+    assert len(rows) == len(want) and dict(rows) == want
+    assert not small or jobs <= 8
+    assert components.components(edges.where("u = v"), small=small).count() == 0
+
+
 # --- WARC ----------------------------------------------------------------------
 
 
