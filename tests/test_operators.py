@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import uuid
 
 import numpy as np
@@ -197,6 +198,55 @@ def test_search_from_heads_moves_no_pairs(spark, small_graph, monkeypatch):
     assert got == want and any(w[3] > w[4] > 0 for w in want.values())
 
 
+def test_counts_of_chains_move_no_instances(spark, small_graph, monkeypatch):
+    """Composite identifiers, several graph times, repeated heads and blocks of them; counts by pair are those of the instances, and nothing is dealt by head and tail."""
+    monkeypatch.setattr(paths, "MASKED", 2)
+    monkeypatch.setattr(paths, "PACKED", 2)
+    tk = Tokens(spark, small_graph, [("1999",), ("2000",)])
+    heads = spark.createDataFrame([(f"a{i}", f"b{i % 2}", y) for i in [*range(5), 0] for y in ("1999", "2000")], "a string, b string, graph_year string")
+    tails = spark.createDataFrame([(f"c{i}", y) for i in range(2) for y in ("1999", "2000")], "c string, graph_year string")
+    found = 0
+    for p in [p for k in (2, 3, 4) for p in paths.path_types(small_graph, paths.one_hops(small_graph, None), "A", "C", 4)[k]][:4]:
+        a, b = paths.pair_cols(p, small_graph)
+        for t in (tails, None):
+            got = paths.chain_counts(tk, p, heads, t)
+            assert not any("Exchange hashpartitioning" in x and "_head" in x and b[0] in x for x in _plan(got).splitlines())
+            whole = paths.PathPlanner(tk, heads).prefix(p)
+            whole = whole if t is None else whole.join(t.toDF(*b, "graph_year"), [*b, "graph_year"], "left_semi")
+            want = whole.groupBy(*a, *b, "graph_year").agg(F.count(F.lit(1)).alias("instances"))
+            assert got.columns == want.columns
+            rows = sorted(map(str, got.collect()))
+            assert rows == sorted(map(str, want.collect()))
+            found += len(rows)
+    assert found
+    with pytest.raises(ValueError):
+        paths.chain_counts(tk, linear_path("one", paths.one_hops(small_graph, None)[:1]), heads)
+
+
+def test_pairs_of_four_hops_are_counted_in_blocks(spark, monkeypatch):
+    """No join of instances, and no partial counts by pair, which grow with the number of tasks."""
+    from pathloom.queries import QUERIES
+
+    plan = _plan(QUERIES["path_4hop_bidir"](spark, "/root/testdata/sf0.001"))
+    assert "Node_3_Part_Col_0" in plan and "Node_2_Customer_Col_0" not in plan and "partial_count" not in plan
+
+
+def test_written_table_leaves_no_shuffle(spark):
+    """The shuffle files of a written table are gone when it has been written; the session's setting stays."""
+    from pathloom.sources import shared
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    files = lambda: {n for n in env.blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in n}
+    before, setting = files(), spark.conf.get(shared.CLEANUP, None)
+    out = shared.written(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(shared.CLEANUP, None) == setting
+    assert sorted(r["k"] for r in out.collect()) == [*range(7)]
+
+
 def test_static_and_missing_slots(spark, small_graph):
     df = tokens.token_table(spark, small_graph, "node", "A", [("1999",)])
     assert df.columns == ["node_A_col_0", "node_A_col_1", "graph_year", "A_feat_col"]
