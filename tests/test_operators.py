@@ -264,6 +264,33 @@ def test_label_pairs_gives_one_row_per_negative(spark):
     assert {r["label"]: r["count"] for r in batch.groupBy("label").count().collect()} == {1: 2, 0: 48}
 
 
+def test_pairs_labelled_by_head_are_those_of_all_candidates(spark, monkeypatch):
+    """Nodes with commas, repeated rows, heads and tails without labels, lists of several parts, two times; the same rows as by all candidates."""
+    monkeypatch.setattr(paths, "PACKED", 2)
+    first = [(f"h,{i}", f"m{(i + j) % 4}", y) for i in range(9) for j in range(2) for y in ("1", "2")]
+    onward = [(f"m{i}", f"t,{(3 * i + j) % 11}", y) for i in range(4) for j in range(6) for y in ("1", "2")] * 2
+    labels = [("h,0", "t,1", "1", "train"), ("h,1", "t,4", "1", "test"), ("h,1", "t,5", "1", "train"), ("h,2", "t,9", "2", "valid"), ("h,8", "t,0", "2", "test"), ("x", "t,7", "1", "valid")]
+    a = spark.createDataFrame(first, "h string, m string, y string")
+    b = spark.createDataFrame(onward, "m string, t string, y string")
+    known = spark.createDataFrame([("h,0", "t,2"), ("h,1", "t,4"), ("h,3", "t,0"), ("h,3", "t,0")], "h string, t string")
+    own = spark.createDataFrame([("h,0", "1", 5), ("h,2", "2", 7)], "h string, y string, n int")
+    named = spark.createDataFrame(labels, "h string, t string, y string, sample_type string")
+    got = pairs.label_pairs_by_head(a, b, named, ["h"], ["m"], ["t"], ["y"], [known], own)
+    candidates = a.join(b, ["m", "y"]).select("h", "t", "y").distinct()
+    want = pairs.label_pairs(candidates, named, ["h"], ["t"], ["y"], [known], infer=False).join(own, ["h", "y"], "left")
+    cols = ["h", "t", "y", "sample_type", "label", "n"]
+    rows = sorted(map(str, got.select(*cols).collect()))
+    assert rows == sorted(map(str, want.select(*cols).collect())) and any("label=1" in r for r in rows) and any("n=5" in r for r in rows)
+
+
+def test_scorer_reads_written_pairs(spark):
+    """Each step of the fit reads the plan it is given, so what it is given joins nothing."""
+    from pathloom.queries import QUERIES
+
+    plan = _plan(QUERIES["lr_scorer"](spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in plan and "Join" not in plan and "Scan parquet" in plan
+
+
 def test_collections_stay_aligned(spark):
     inst = spark.createDataFrame([("h", str(i), None if i % 2 else i) for i in range(30)], "h string, t string, f int")
     c = collect.Collection("p", inst, ("h",), ("h",), ("t", "f"))
